@@ -1,0 +1,53 @@
+"""Tables that cut lineage, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only where that is unset (tests, one
+    machine) is a temporary folder made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm.get() if jvm.isDefined() else None
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="kinsift-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def _clean() -> None:
+    for spark, path in _own:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before; the folder is scratch space
+            pass
+    _own.clear()
+
+
+atexit.register(_clean)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, written to the shared folder and read again. Lost executors lose
+    nothing of it. The files go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark).rstrip('/')}/kinsift-{name}-{uuid.uuid4().hex}"
+    _own.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch: texts can be long, and a batch is held in memory whole."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
