@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language, mixing, quality_rules, secret_scan, sql, toxicity
+from . import chat_format, decontamination, language, mixing, quality_rules, secret_scan, sql, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,21 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "copy_no", "n_copies", "source", "lang", "text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.by_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identified(docs, language.fit(docs.where(~language.held_out()))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.by_parsing(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2(F.col("_cut.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.flagged(docs, table(spark, sf_dir, "benchmark"))
@@ -61,7 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op4_mix_sources": op4_mix_sources,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_language": op6_language,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_quality_rules": op9_quality_rules,
         "op10_chat_format": op10_chat_format,
