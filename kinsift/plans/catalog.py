@@ -1,11 +1,414 @@
-"""All registered queries and their SQL."""
+"""All registered queries over whole tables, and SQL for the same rows.
+
+Offers are derived from parts and line items (`sources.products`). Pairs for the queries on
+similarity are blocks of four neighbouring parts, whose offers are alike and not alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinsift.functions import text as T
+from kinsift.operators import blocking, brands, clustering, evaluation, minhash, similarity, vocabulary
+from kinsift.plans import experiment, scratch
+from kinsift.plans.sql import FIXED_RESULTS, K, LEXICON, R, SQL
+from kinsift.sources import products as P
+from kinsift.sources import results
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+def nearly(c: Column) -> Column:
+    """To six places; what is added keeps sums of another order from parting a tie."""
+    return F.round(c + 1e-9, 6)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: nearly(F.col(n)) for n in names})
+
+
+def offered(s: SparkSession, d: str) -> DataFrame:
+    return P.offers(s, d)
+
+
+def products(s: SparkSession, d: str, cleaner: T.Cleaner = T.clean_unified) -> DataFrame:
+    return offered(s, d).withColumn("title", cleaner(F.col("title")))
+
+
+def features(s: SparkSession, d: str, cleaner: T.Cleaner | None = T.clean_unified) -> DataFrame:
+    f = P.offer_features(offered(s, d)).select("product_idx", "key", "value")
+    return f.withColumn("value", cleaner(F.col("value"))) if cleaner else f
+
+
+def words(s: SparkSession, d: str) -> DataFrame:
+    f = features(s, d)
+    relevant = vocabulary.relevant_features(f, offered(s, d).count())
+    return vocabulary.unified_words(products(s, d), f, relevant)
+
+
+def sigs(s: SparkSession, d: str, k: int = K) -> DataFrame:
+    return minhash.signatures(vocabulary.product_words(words(s, d)), k)
+
+
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    p = offered(s, d).select("product_idx", F.floor(F.col("p_partkey") / 4).alias("block"))
+    a, b = p.select("block", F.col("product_idx").alias("i")), p.select("block", F.col("product_idx").alias("j"))
+    return a.join(b, "block").where("i < j").select("i", "j")
+
+
+def cross_shop(s: SparkSession, d: str) -> DataFrame:
+    return brands.prune_same_shop(pairs(s, d), offered(s, d))
+
+
+@query
+def flatten_groups(s, d):
+    item = lambda t, shop, m, f: F.struct(F.lit(t).alias("title"), F.lit(shop).alias("shop"), F.lit(m).alias("modelID"), f.alias("featuresMap"))
+    size = F.create_map(F.lit("Size"), F.lit('29"'))
+    groups = F.create_map(F.lit("g1"), F.array(item("a", "x", "m1", size), item("b", "y", "m1", size)), F.lit("g2"), F.array(item("c", "x", "m2", size)))
+    return P.flatten_groups(s.range(1).select(groups.alias("groups"))).select("product_idx", "group_key", "model_id", "shop", "title", F.col("features")["Size"].alias("size"))
+
+
+@query
+def clean_basic(s, d):
+    return offered(s, d).select("product_idx", T.clean_basic(F.col("title")).alias("title"))
+
+
+@query
+def clean_unified(s, d):
+    return offered(s, d).select("product_idx", T.clean_unified(F.col("title")).alias("title"))
+
+
+@query
+def clean_features(s, d):
+    maps = P.products(offered(s, d)).select("product_idx", T.clean_map(F.col("features"), T.clean_unified).alias("features"))
+    return P.feature_rows(maps)
+
+
+@query
+def title_model_words(s, d):
+    return products(s, d, T.clean_basic).select("product_idx", F.explode(T.title_words(F.col("title"))).alias("word"))
+
+
+@query
+def feature_model_words(s, d):
+    return features(s, d, T.clean_basic).select("product_idx", "key", T.value_word(F.col("value")).alias("word")).where("word IS NOT NULL")
+
+
+@query
+def unified_model_words(s, d):
+    return words(s, d)
+
+
+@query
+def vocabulary_basic(s, d):
+    return vocabulary.vocabulary(vocabulary.basic_words(products(s, d, T.clean_basic), features(s, d, T.clean_basic)))
+
+
+@query
+def vocabulary_unified(s, d):
+    return vocabulary.vocabulary(words(s, d))
+
+
+@query
+def feature_frequency(s, d):
+    return vocabulary.feature_frequency(features(s, d, None))
+
+
+@query
+def relevant_features(s, d):
+    return vocabulary.relevant_features(features(s, d, None), offered(s, d).count())
+
+
+@query
+def word_index(s, d):
+    return vocabulary.word_index(words(s, d))
+
+
+@query
+def product_words_basic(s, d):
+    return vocabulary.product_words(vocabulary.basic_words(products(s, d, T.clean_basic), features(s, d, T.clean_basic)))
+
+
+@query
+def product_words_unified(s, d):
+    return vocabulary.product_words(words(s, d))
+
+
+@query
+def minhash_params(s, d):
+    return minhash.parameter_table(s, K)
+
+
+@query
+def minhash_signatures(s, d):
+    return minhash.long_form(sigs(s, d))
+
+
+@query
+def signature_agreement(s, d):
+    return rounded(minhash.agreement(pairs(s, d), sigs(s, d)), "jaccard_estimate")
+
+
+@query
+def sample_signatures(s, d):
+    own = evaluation.bootstrap_samples(offered(s, d), 1).where("split = 'train'").select("local_pos", "product_idx")
+    return vocabulary.sample_columns(minhash.long_form(sigs(s, d)), own).select("local_pos", "product_idx", "perm_id", "minhash")
+
+
+@query
+def band_configs(s, d):
+    return blocking.band_configs(s, K)
+
+
+@query
+def band_threshold(s, d):
+    return blocking.band_configs(s, K).select("r", "b", nearly(blocking.threshold(F.col("r"), F.col("b"))).alias("t"))
+
+
+@query
+def lsh_bands(s, d):
+    return blocking.bands(sigs(s, d), R)
+
+
+@query
+def lsh_buckets(s, d):
+    banded = blocking.bands(sigs(s, d), R)
+    return banded.join(blocking.bucket_sizes(banded).where("n > 1"), ["band_id", "band_key"]).select("band_id", "band_key", "product_idx")
+
+
+@query
+def lsh_bucket_sizes(s, d):
+    return blocking.bucket_sizes(blocking.bands(sigs(s, d), R))
+
+
+@query
+def lsh_candidates(s, d):
+    return blocking.candidates(blocking.bands(sigs(s, d), R))
+
+
+@query
+def lsh_candidates_float64(s, d):
+    return blocking.candidates(blocking.bands(sigs(s, d), R, key="float64"))
+
+
+@query
+def candidates_global(s, d):
+    own = evaluation.bootstrap_samples(offered(s, d), 1).where("split = 'train'").select("local_pos", "product_idx")
+    local = own.join(sigs(s, d), "product_idx").select(F.col("local_pos").alias("product_idx"), "sig")
+    return blocking.to_global(blocking.candidates(blocking.bands(local, R)), own)
+
+
+@query
+def prune_same_shop(s, d):
+    return cross_shop(s, d)
+
+
+def texts(s: SparkSession, d: str) -> DataFrame:
+    return brands.product_text(products(s, d), features(s, d))
+
+
+@query
+def brand_substring(s, d):
+    return texts(s, d).select("product_idx", brands.brand_substring(F.col("text"), LEXICON).alias("brand"))
+
+
+@query
+def brand_whole_word(s, d):
+    return texts(s, d).select("product_idx", brands.brand_whole_word(F.col("text"), LEXICON).alias("brand"))
+
+
+@query
+def prune_brand(s, d):
+    return brands.prune_brand(pairs(s, d), brand_whole_word(s, d))
+
+
+@query
+def qgrams(s, d):
+    return features(s, d, None).select("key").distinct().select("key", F.explode(T.qgrams(F.col("key"))).alias("gram"))
+
+
+def _titles(s, d, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    return similarity.title_pairs(cross_shop(s, d), products(s, d)).select("i", "j", nearly(score(F.col("t1"), F.col("t2"))).alias(name))
+
+
+@query
+def qgram_dice(s, d):
+    return _titles(s, d, lambda a, b: T.dice(T.qgrams(a), T.qgrams(b)), "sim")
+
+
+@query
+def qgram_jaccard(s, d):
+    return _titles(s, d, lambda a, b: T.jaccard(T.qgrams(a, lower=True), T.qgrams(b, lower=True)), "sim")
+
+
+@query
+def key_similarity(s, d):
+    return rounded(similarity.key_similarity(features(s, d)), "key_sim")
+
+
+@query
+def kv_match(s, d):
+    return rounded(similarity.kv_match(similarity.key_matches(cross_shop(s, d), features(s, d))), "w", "kv")
+
+
+@query
+def unmatched_keys(s, d):
+    f, p = features(s, d), cross_shop(s, d)
+    return similarity.unmatched_keys(p, f, similarity.key_matches(p, f)).select("i", "j", "side", "key")
+
+
+@query
+def hsm(s, d):
+    f, p = features(s, d), cross_shop(s, d)
+    return rounded(similarity.hsm(similarity.unmatched_keys(p, f, similarity.key_matches(p, f))), "hsm")
+
+
+@query
+def title_cosine(s, d):
+    return _titles(s, d, T.token_cosine, "cosine")
+
+
+@query
+def split_numeric(s, d):
+    w = title_model_words(s, d).select("word").distinct()
+    return w.select("word", T.numeric_part(F.col("word")).alias("numeric"), T.other_part(F.col("word")).alias("other"))
+
+
+@query
+def lev_norm(s, d):
+    return _titles(s, d, T.edit_distance, "lev")
+
+
+@query
+def avg_lev_words(s, d):
+    return _titles(s, d, lambda a, b: similarity.average_edit(T.title_tokens(a), T.title_tokens(b)), "sim")
+
+
+@query
+def avg_lev_model_words(s, d):
+    part = lambda t: similarity.parted(T.title_words(t))
+    return _titles(s, d, lambda a, b: similarity.average_edit_words(part(a), part(b)), "sim")
+
+
+@query
+def tmwm(s, d):
+    return rounded(similarity.title_similarity(similarity.title_pairs(cross_shop(s, d), products(s, d))).select("i", "j", "tmwm"), "tmwm")
+
+
+@query
+def tmwm_fast(s, d):
+    return rounded(similarity.title_similarity(similarity.title_pairs(cross_shop(s, d), products(s, d)), variant="fast").select("i", "j", "tmwm"), "tmwm")
+
+
+def _scored(s, d, variant: str = "exact") -> DataFrame:
+    return similarity.pair_similarity(cross_shop(s, d), products(s, d), features(s, d), variant=variant)
+
+
+@query
+def pair_similarity(s, d):
+    return rounded(_scored(s, d).select("i", "j", "m", "similarity"), "similarity")
+
+
+@query
+def pair_similarity_fast(s, d):
+    return rounded(_scored(s, d, "fast").select("i", "j", "m", "similarity"), "similarity")
+
+
+@query
+def dissimilarity(s, d):
+    return rounded(similarity.dissimilarity(_scored(s, d)), "dissim")
+
+
+def _edges(s, d) -> DataFrame:
+    return scratch.written(similarity.dissimilarity(_scored(s, d)), "dissim")
+
+
+@query
+def epsilon_components(s, d):
+    return clustering.epsilon_components(_edges(s, d), 0.5).select(F.col("node").alias("product_idx"), F.col("least").alias("component"))
+
+
+@query
+def clusters(s, d):
+    return clustering.clusters(offered(s, d), _edges(s, d), 0.5)
+
+
+@query
+def cluster_pairs(s, d):
+    return clustering.cluster_pairs(clusters(s, d))
+
+
+@query
+def true_pairs(s, d):
+    return evaluation.true_pairs(offered(s, d))
+
+
+@query
+def bootstrap_oob(s, d):
+    return evaluation.bootstrap_samples(offered(s, d))
+
+
+@query
+def true_pairs_in_sample(s, d):
+    own = evaluation.bootstrap_samples(offered(s, d), 1).where("split = 'test'")
+    return evaluation.in_sample(true_pairs(s, d), own)
+
+
+@query
+def found_duplicates(s, d):
+    return evaluation.found_pairs(lsh_candidates(s, d), true_pairs(s, d))
+
+
+@query
+def pair_metrics(s, d):
+    found = evaluation.pair_metrics(scratch.written(lsh_candidates(s, d), "candidates"), true_pairs(s, d), offered(s, d))
+    return rounded(found, "pq", "pc", "f1", "foc")
+
+
+@query
+def epsilon_grid_best(s, d):
+    p, candidates = offered(s, d), cross_shop(s, d)
+    return rounded(experiment.best(experiment.epsilon_grid(p, _edges(s, d), candidates, scratch.written(true_pairs(s, d), "truth"))), "f1")
+
+
+@query
+def pending_configs(s, d):
+    configs = blocking.band_configs(s, K).crossJoin(s.range(2).select(F.col("id").cast("int").alias("bootstrap")))  # two short lists
+    return experiment.pending(configs, _fixed(s)).select("bootstrap", "r", "b")
+
+
+def _fixed(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(FIXED_RESULTS, results.RESULTS)
+
+
+@query
+def summarize_results(s, d):
+    return rounded(evaluation.summarize(_fixed(s)), "t", *results.METRICS)
+
+
+@query
+def quality_curves(s, d):
+    return rounded(evaluation.curves(evaluation.summarize(_fixed(s))), "foc_lsh", "pc_lsh", "pq_lsh", "f1_star", "f1")
+
+
+@query
+def fair_auc(s, d):
+    r = _fixed(s)
+    return rounded(evaluation.fair_auc(evaluation.summarize(r.where("bootstrap = 0")), evaluation.summarize(r.where("bootstrap = 1"))), "auc_first", "auc_second")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
