@@ -110,16 +110,16 @@ def _prefixes(turns: list[Turn], template: Callable, window: int | None) -> tupl
 def render(turns: list[Turn], template: Callable = chatml, window: int = WINDOW) -> Rendered:
     """Renders a whole conversation and locates its turns."""
     pieces, inner, rewrites = _prefixes(turns, template, window)
-    whole = template(turns)
-    exact = "".join(pieces) == whole
+    whole, head = template(turns), template([])  # what stands before any turn
+    exact = head + "".join(pieces) == whole
     n = 1
     while exact and n < len(turns):  # renderings of doubling length: history must not change
-        exact = template(turns[:n]) == "".join(pieces[:n])
+        exact = template(turns[:n]) == head + "".join(pieces[:n])
         n *= 2
     if not exact or rewrites:
         pieces, inner, rewrites = _prefixes(turns, template, None)
-        rewrites = rewrites or "".join(pieces) != whole
-    spans, at = [], 0
+        rewrites = rewrites or head + "".join(pieces) != whole
+    spans, at = [], len(head)
     for p in pieces:
         spans.append((at, at + len(p)))
         at += len(p)
