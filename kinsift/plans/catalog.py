@@ -376,8 +376,8 @@ def pair_metrics(s, d):
 
 @query
 def epsilon_grid_best(s, d):
-    p, candidates = offered(s, d), cross_shop(s, d)
-    return rounded(experiment.best(experiment.epsilon_grid(p, _edges(s, d), candidates, scratch.written(true_pairs(s, d), "truth"))), "f1")
+    grid = experiment.epsilon_grid(_edges(s, d), cross_shop(s, d), scratch.written(true_pairs(s, d), "truth"))
+    return rounded(experiment.best(grid), "f1")
 
 
 @query

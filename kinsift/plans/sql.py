@@ -201,8 +201,8 @@ _OWN = {
     "candidates_global": {"db": "SELECT local_pos, d.product_idx, band_id, band_key FROM drawn d JOIN bands USING (product_idx) WHERE bootstrap = 0"},
     "epsilon_components": {
         "close": "SELECT i, j FROM ps WHERE 1 - similarity <= 0.5",
-        "both": "SELECT i AS a, j AS b FROM close UNION SELECT j, i FROM close",
-        "reach": "SELECT a AS node, a AS root FROM both UNION SELECT both.b, root FROM reach JOIN both ON both.a = reach.node",
+        "undirected": "SELECT i AS a, j AS b FROM close UNION SELECT j, i FROM close",
+        "reach": "SELECT a AS node, a AS root FROM undirected UNION SELECT undirected.b, root FROM reach JOIN undirected ON undirected.a = reach.node",
     },
 }
 
