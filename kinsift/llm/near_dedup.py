@@ -11,9 +11,9 @@ process stops when it is later than all registers, which is soon.
 Bands of registers give candidates. Equal texts count once. In each bucket all texts are
 first held against one leader (the one with most copies) only; verified links form components.
 Where a bucket still spans several components, its texts outside the leader's component
-are held against all of other components. So no pair of a bucket is left undecided, and a large
-group of near copies costs a link per text, not all pairs. Candidates are verified
-by multiset overlap of the shingles of whole texts.
+are held against all of the bucket, in blocks (`rest_links`), from which only links that join components come out. So no
+pair of a bucket is left undecided, and a large group of near copies costs a row per text, not all
+pairs. Candidates are verified by multiset overlap of the shingles of whole texts.
 
 Two texts of similarity s share one of `bands` buckets with probability 1-(1-s^rows)^bands: for 25
 bands of 5 rows 0.99995 at 0.8 and more above.
@@ -32,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsift.operators.components import components
+from kinsift.plans import scratch
+
 from . import arrays as A
-from . import scratch
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,13 +113,13 @@ def overlap(a: tuple, b: tuple, n_rows: int) -> np.ndarray:
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """node (id and a hash of the text), k1 and k2 (hashes of all words; null where
-    nothing can be compared), n (shingles), keys (of bands) and regs (registers, hashed)."""
+    nothing can be compared) and keys (of bands)."""
     m = bands * rows
     src = docs.select(F.struct(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th")).alias("node"), F.col(text_col).alias("text"))
     node = src.schema["node"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "k1", "k2", "n", "keys", "regs"]
+        names = ["node", "k1", "k2", "keys"]
         for b in batches:
             for lo, hi in A.slices(b.column("text")):
                 part = b.slice(lo, hi - lo)
@@ -131,9 +133,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                 key = A.mix(key + np.arange(bands, dtype=np.uint64) * _GOLD)
                 void = (n == 0) | np.asarray(part.column("node").field("id").is_null())
                 flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(k1.view(np.int64), mask=void), pa.array(k2.view(np.int64), mask=void), pa.array(np.bincount(row, weights=count, minlength=size).astype(np.int32)), flat(key.view(np.int64), pa.int64()), flat(bits.reshape(size, m).view(np.int64).astype(np.int32), pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(k1.view(np.int64), mask=void), pa.array(k2.view(np.int64), mask=void), flat(key.view(np.int64), pa.int64())], names)
 
-    return src.mapInArrow(emit, f"node {node}, k1 bigint, k2 bigint, n int, keys array<bigint>, regs array<int>")
+    return src.mapInArrow(emit, f"node {node}, k1 bigint, k2 bigint, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -157,31 +159,101 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
     return both.mapInArrow(emit, f"a {node}, b {node}")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, least: the least node of each node's component (nodes with an edge only), by
-    alternating large and small stars; each round is written, none is collected."""
-
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-            out = near.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            near = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-            got = near.join(least, F.col("u") == F.col("w"))
-            out = got.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    e = scratch.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        e = scratch.written(stars(stars(e, True), False), "stars")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark or not now["n"]:
-            break
-        mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
+def linked(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (pairs of row numbers) between rows of the rest (`rest` is true) and all rows of a block
+    that join different components (`c`): a spanning forest of the exact similarities.
+
+    Shingles become columns, the k-th copy of one a column of its own; those of a single row say nothing
+    and are left out; a matrix product over slices of columns counts what rows share."""
+    row, h, count, *_ = shingles(group.column("text").combine_chunks())
+    n = group.num_rows
+    size = np.bincount(row, weights=count, minlength=n)
+    rep = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+    keys = A.mix(h[rep] + nth.astype(np.uint64) * _GOLD)
+    _, col, times = np.unique(keys, return_inverse=True, return_counts=True)
+    use = times[col] > 1
+    who = row[rep][use]
+    _, col = np.unique(col[use], return_inverse=True)
+    rest = np.asarray(group.column("rest").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    x, y = np.flatnonzero(rest), np.arange(n)
+    shared = np.zeros((len(x), n), np.float32)
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    width = max(256, (8 << 20) // max(1, n))
+    for lo in range(0, int(col.max(initial=-1)) + 1, width):
+        i, j = np.searchsorted(col, [lo, lo + width])
+        m = np.zeros((n, width), np.float32)
+        m[who[i:j], col[i:j] - lo] = 1
+        shared += m[x] @ m.T
+    alike = shared >= (threshold - 1e-12) * (size[x][:, None] + size[None, :] - shared)
+    c = group.column("c").combine_chunks()
+    label = np.unique(np.array([f"{v['id']}/{v['th']}" for v in c.to_pylist()]), return_inverse=True)[1]
+    alike &= label[x][:, None] != label[y][None, :]
+    parent = np.arange(label.max(initial=0) + 1)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    for p, q in zip(*np.nonzero(alike), strict=True):
+        u, v = root(label[x[p]]), root(label[q])
+        if u != v:
+            parent[u] = v
+            out.append((x[p], q))
+    return np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
+
+
+BLOCK = 512
+
+
+def rest_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """a, b: links of texts outside their bucket's main component.
+
+    rest: main, rep, c. Buckets of one main component are one group. Its texts are dealt out in blocks,
+    and those outside the main component are held against every block: a stated set against all, in
+    blocks of a fixed number of rows, so that no task holds a group."""
+    sizes = rest.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"), F.ceil(F.count_if(F.col("c") != F.col("main")) / BLOCK).cast("int").alias("nx"))
+    r = rest.join(scratch.written(sizes.select(F.col("main").alias("w"), "ny", "nx"), "sizes"), F.col("main") == F.col("w")).drop("w")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th")).alias("node"), F.col(text_col).alias("text"))
+    r = r.join(texts, F.col("rep") == F.col("node")).drop("node").dropDuplicates(["main", "rep"])
+    h = F.xxhash64("rep")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    outside = F.col("c") != F.col("main")
+    as_x = r.where(outside).select("main", F.pmod(h, F.col("nx")).cast("int").alias("bx"), F.explode(span(F.col("ny"))).alias("by"), "rep", "c", F.lit(True).alias("rest"), "text")
+    as_y = r.select("main", F.explode(span(F.col("nx"))).alias("bx"), F.pmod(h, F.col("ny")).cast("int").alias("by"), "rep", "c", F.lit(False).alias("rest"), "text")
+    dealt = as_x.unionByName(as_y).withColumn("g", F.concat_ws(":", F.col("main.id").cast("string"), F.col("main.th").cast("string"), "bx", "by")).select("g", "rep", "c", "rest", "text")
+    own = dealt.repartition("g").sortWithinPartitions("g")
+    node = own.schema["rep"].dataType.simpleString()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            x, y = linked(t, threshold)
+            rep = t.column("rep").combine_chunks()
+            return pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y))], ["a", "b"])
+
+        for b in batches:
+            g = b.column("g").to_pylist()
+            at = 0
+            for k in range(1, len(g) + 1):
+                if k == len(g) or g[k] != g[at]:
+                    if now is not None and g[at] != now and held:
+                        yield close()
+                        held = []
+                    now = g[at]
+                    held.append(b.slice(at, k - at))
+                    at = k
+        if held:
+            yield close()
+
+    return own.mapInArrow(emit, f"a {node}, b {node}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -193,15 +265,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one row of each class (that of the least id; of repeated rows one)."""
     out = classes(docs, id_col, text_col, threshold, bands, rows)
-    gone = out.where("c IS NOT NULL AND c <> node").select(F.col("node.id").alias("_gi"), F.col("node.th").alias("_gt")).distinct()
-    own = docs.withColumn("_th", F.hash(F.col(text_col)))
-    left = own.join(gone, F.col(id_col).eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left_anti")
-    twice = out.where("c IS NOT NULL AND c = node").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node.id").alias("_gi"), F.col("node.th").alias("_gt"))
+    gone = out.where("c IS NOT NULL AND c <> node").select(F.col("node.id").alias("__ks_id"), F.col("node.th").alias("__ks_hash")).distinct()
+    own = docs.withColumn("__ks_own", F.hash(F.col(text_col)))
+    left = own.join(gone, F.col(id_col).eqNullSafe(F.col("__ks_id")) & (F.col("__ks_own") == F.col("__ks_hash")), "left_anti")
+    twice = out.where("c IS NOT NULL AND c = node").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node.id").alias("__ks_id"), F.col("node.th").alias("__ks_hash"))
     twice = scratch.written(twice, "repeats")
     if twice.limit(1).count():  # rows that repeat an id and a text: one stays
-        again = left.join(twice, F.col(id_col).eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left_semi").dropDuplicates([id_col, "_th"])
-        left = left.join(twice, F.col(id_col).eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left_anti").unionByName(again)
-    return left.drop("_th")
+        again = left.join(twice, F.col(id_col).eqNullSafe(F.col("__ks_id")) & (F.col("__ks_own") == F.col("__ks_hash")), "left_semi").dropDuplicates([id_col, "__ks_own"])
+        left = left.join(twice, F.col(id_col).eqNullSafe(F.col("__ks_id")) & (F.col("__ks_own") == F.col("__ks_hash")), "left_anti").unionByName(again)
+    return left.drop("__ks_own")
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
@@ -210,7 +282,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     docs = docs.select(F.col(id_col), F.col(text_col))
     sig = scratch.written(signed(docs, id_col, text_col, bands, rows), "signatures")
     known = sig.where("k1 IS NOT NULL")
-    texts = known.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
+    texts = known.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     texts = scratch.written(texts, "texts")
     placed = texts.select("rep", "copies", F.explode("keys").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "rep")).alias("first")).where("c > 1")
@@ -222,18 +294,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     at = placed.join(class_of.select(F.col("node").alias("w"), "least"), F.col("rep") == F.col("w"), "left").select("key", "rep", "leader", F.coalesce("least", "rep").alias("c"))
     at = scratch.written(at, "placed")
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("c"))).alias("main")).where("lo <> hi").select(F.col("key").alias("k"), "main")
-    rest = at.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "leader", "c", "main")
-    rest = rest.join(texts.select(F.col("rep").alias("w"), "n", "regs"), F.col("rep") == F.col("w")).drop("w")
-    x, y = rest.where("c <> main").alias("x"), rest.where("rep <> leader").alias("y")
-    alike = F.size(F.filter(F.zip_with("x.regs", "y.regs", lambda p, q: p == q), lambda z: z))
-    m = bands * rows
-    # the share of equal registers is an unbiased estimate; five deviations below the threshold is out
-    floor = int(m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5)
-    fits = (F.col("x.n") >= F.lit(threshold) * F.col("y.n")) & (F.col("y.n") >= F.lit(threshold) * F.col("x.n")) & (alike >= floor)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & fits)
-    more = scratch.written(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "pairs")
-    if more.limit(1).count():
-        added = scratch.written(verified(more, docs, id_col, text_col, threshold), "more")
+    rest = scratch.written(at.join(mixed, F.col("key") == F.col("k")).select("main", "rep", "c").distinct(), "rest")
+    if rest.limit(1).count():
+        added = scratch.written(rest_links(rest, docs, id_col, text_col, threshold), "more")
         if added.limit(1).count():
             # known components are stars already
             stars = class_of.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
