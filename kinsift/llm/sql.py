@@ -45,3 +45,29 @@ SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) |
   sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::bigint AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+SQL["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN f USING (h) WHERE m < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op5_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+f AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN f USING (h)),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 199 AS e FROM (SELECT doc_id, i, sum((before IS NULL OR i > before + 200)::int) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, r),
+gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER w, 0) + 1 AS s, s - 1 AS e FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT doc_id, max(e) + 1, 2000000000 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[s:e]), '' ORDER BY s) AS t FROM gaps JOIN d USING (doc_id) WHERE s <= e GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(e - s + 1) AS n_removed FROM runs GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(t, ''))) END AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
