@@ -67,7 +67,7 @@ def bootstrap_samples(products: DataFrame, n_bootstraps: int = 5, seed: int = 55
     drawn = spots.select("bootstrap", "local_pos", (digits % F.col("n")).alias("ordinal")).join(ranked, "ordinal").select("bootstrap", "local_pos", "product_idx")
     every = ranked.select("product_idx", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))).alias("bootstrap"))
     left = every.join(drawn.select("bootstrap", "product_idx").distinct(), ["bootstrap", "product_idx"], "left_anti")
-    left = left.withColumn("local_pos", (F.row_number().over(Window.partitionBy("bootstrap").orderBy("product_idx")) - 1).cast("long"))
+    left = dense_index(left, "product_idx", F.floor(F.col("product_idx") / 4096), "local_pos", by=("bootstrap",))
     return drawn.select("bootstrap", F.lit("train").alias("split"), "local_pos", "product_idx").unionByName(left.select("bootstrap", F.lit("test").alias("split"), "local_pos", "product_idx"))
 
 

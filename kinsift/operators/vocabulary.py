@@ -5,21 +5,22 @@ The binary matrix of words by products is the relation (product_idx, word_idx) o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsift.functions import text as T
 
 
-def dense_index(df: DataFrame, key: str, bucket: F.Column, name: str) -> DataFrame:
-    """df with the rank of key from 0 in column `name`. bucket: an expression that is monotone in key and takes few
-    values; ranks are counted within buckets and offset by the sizes of the buckets before, so
-    that no task sees all rows."""
+def dense_index(df: DataFrame, key: str, bucket: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the rank of key from 0 (within groups of `by`) in column `name`.
+
+    bucket: an expression that is monotone in key and takes few values; ranks are counted within
+    buckets and offset by the sizes of the buckets before, so that no task sees all rows, only a row a bucket."""
     df = df.withColumn("_b", bucket)
-    sizes = df.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_b").alias("_k"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    return ranked.join(F.broadcast(before), F.col("_b") == F.col("_k")).withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_k", "_before", "_r")
+    sizes = df.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before")
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(key)))
+    return ranked.join(sizes.select(*by, "_b", before), [*by, "_b"]).withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_before", "_r")
 
 
 def feature_frequency(features: DataFrame) -> DataFrame:
