@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import decontamination, mixing, near_dedup, scratch, secret_scan, toxicity
+from kinsift.llm import decontamination, mixing, near_dedup, secret_scan, toxicity
+from kinsift.plans import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

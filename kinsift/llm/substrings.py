@@ -57,7 +57,7 @@ def by_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with the column _cut: n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
     found = windows.repeated(docs, windows.BYTES, id_col, text_col, any_other=True)
     joined = windows.with_spans(docs, found, id_col, text_col)
-    return joined.withColumn("_cut", kept_bytes()(F.col(text_col), F.col("_spans"))).drop("_spans")
+    return joined.withColumn("_cut", kept_bytes()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)
 
 
 def kept_words():
@@ -85,7 +85,7 @@ def by_parsing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with the column _cut: n_words, n_removed and kept (words joined by one space)."""
     found = windows.repeated(docs, windows.WORDS, id_col, text_col, any_other=False)
     joined = windows.with_spans(docs, found, id_col, text_col)
-    return joined.withColumn("_cut", kept_words()(F.col(text_col), F.col("_spans"))).drop("_spans")
+    return joined.withColumn("_cut", kept_words()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)
 
 
 def digest(data: bytes) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from . import scratch
+from kinsift.plans import scratch
 
 #: Letters of other scripts, digits and signs that imitate a Latin letter.
 HOMOGLYPHS = str.maketrans({
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if not n1 or not n0:
         return Model(factors=(4.0 if n1 else -4.0, 0.0, 0.0))
     # the floor rises with the sample, so that rare words with chance purity stay out
-    floor = max(least, math.ceil(n1 / 400))
+    floor = max(least, math.ceil(n1 / 100))
     counted = rows.select(F.explode(units("t")).alias("u"), "y").groupBy("u").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.25) / (n1 + 0.5)) - F.log((F.col("b") + 0.25) / (n0 + 0.5))
     kept = counted.where((F.col("a") >= floor) & (F.col("a") >= purity * (F.col("a") + F.col("b")))).select("u", "a", "b", odds.alias("w")).orderBy(F.desc("a"), "u").limit(max_terms).collect()

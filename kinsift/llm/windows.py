@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsift.plans import scratch
+
 from . import arrays as A
-from . import scratch
 
 HOT_GRAM = 20_000
 GROUP_BYTES = 4 << 20
-_POSITION = np.uint64(24)
+PIECE = 1 << 22  # units of a long text that are looked at together; places must fit in 24 bits
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def blocks_of(codes: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.nd
     """(row, first window, windows, minimiser, k-gram hash, block hash) of all blocks; places
     count from the start of the row. Long inputs are cut into overlapping pieces."""
     out: list[tuple] = []
-    most = 1 << 22
+    most = PIECE
     n = np.diff(offsets)
     a = 0
     while a < len(n):
@@ -395,7 +396,12 @@ def repeated(docs: DataFrame, unit: Unit, id_col: str, text_col: str, any_other:
     return sure.unionByName(part).groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+SPANS = "__ks_spans"
+
+
 def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs (all rows and columns) with the column _spans, null where there are none."""
-    found = found.select(F.col("doc").alias("_doc"), F.col("sig").alias("_sig"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_s2", F.hash(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_s2") == F.col("_sig")), "left").drop("_doc", "_sig", "_s2")
+    """docs (all rows and columns) with the column SPANS, null where there are none."""
+    found = found.select(F.col("doc").alias("__ks_doc"), F.col("sig").alias("__ks_sig"), F.col("spans").alias(SPANS))
+    own = docs.withColumn("__ks_own", F.hash(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__ks_doc")) & (F.col("__ks_own") == F.col("__ks_sig"))
+    return own.join(found, same, "left").drop("__ks_doc", "__ks_sig", "__ks_own")
