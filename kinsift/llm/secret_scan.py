@@ -2,7 +2,9 @@
 
 Each text is a first layer. A layer is scanned for secrets; then every codec (URL escapes,
 Unicode escapes, base64 with optional compression below it) that finds something to unwrap
-gives one more layer, in which the encoded pieces are replaced by what they hold. Layers go
+gives one more layer, in which the encoded pieces are replaced by what they hold. Where a run of
+base64 begins and ends isn't known: it may be glued to a path or a word, or broken into lines. It is
+tried whole, by its parts and in its four alignments; readings that overlap give layers of their own. Layers go
 through a worklist until no codec yields a layer not seen before (digests of seen layers
 detect cycles). A layer keeps its pieces as ranges of its parent, so that a match in any
 depth is mapped back to code points of the text itself.
@@ -14,14 +16,13 @@ to (a decompression bomb is left packed); nothing else is bounded.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 
 import pyarrow as pa
@@ -38,9 +39,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
-MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ", b"\x28\xb5\x2f\xfd")
+_B = "[A-Za-z0-9+/_-]"
+_BREAK = r"(?:\r\n?|\n)[ \t]*+"
+#: A run in either alphabet, also over single line breaks (with an indent).
+BASE64 = re.compile(rf"(?<!{_B})(?:{_B}{{16,}}+(?:{_BREAK}{_B}++)*+|{_B}{{1,15}}+(?:{_BREAK}{_B}++)++)={{0,2}}")
+#: What of a run may be encoded by itself.
+PARTS = tuple(re.compile(rf"{c}{{16,}}") for c in (_B, "[A-Za-z0-9+/]", "[A-Za-z0-9_-]", "[A-Za-z0-9]"))
+STANDARD = str.maketrans("-_", "+/")
+#: In bytes: any match, or text that encodes one, has 12 ASCII characters at least.
+ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ|\x28\xb5\x2f\xfd")
 SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_spans array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, n_layers int"
 
 
@@ -61,8 +69,8 @@ def readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """What data holds in packed form: gzip, zlib, bzip2, xz or zstandard."""
+def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """What data holds in packed form (gzip, zlib, bzip2, xz or zstandard), and how many bytes of it."""
     try:
         if data.startswith(b"\x1f\x8b"):
             d = zlib.decompressobj(31)
@@ -77,11 +85,11 @@ def inflate(data: bytes, most: int) -> bytes | None:
 
             with zstandard.ZstdDecompressor().stream_reader(data) as r:
                 out = r.read(most + 1)
-            return out if len(out) <= most else None
+            return (out, len(data)) if len(out) <= most else None
         else:
             return None
         out = d.decompress(data, most + 1)
-        return out if len(out) <= most else None
+        return (out, len(data) - len(d.unused_data)) if len(out) <= most else None
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
         return None
     except Exception as e:  # zstandard's own error class, which is not imported at the top
@@ -90,6 +98,14 @@ def inflate(data: bytes, most: int) -> bytes | None:
         raise
 
 
+def unpacked(data: bytes, most: int) -> bytes:
+    for _ in range(64):  # packed data may hold packed data
+        if not PACKED.match(data) or (inner := inflate(data, most)) is None or inner[0] == data:
+            break
+        data = inner[0]
+    return data
+
+
 def url_pieces(text: str, most: int):
     """(start, end, what it holds) for each escaped run that is UTF-8, a character a piece."""
     for m in URL.finditer(text):
@@ -121,21 +137,64 @@ def unicode_pieces(text: str, most: int):
                 yield x.start(), x.end(), chr(code)
 
 
-def base64_pieces(text: str, most: int):
+def decoded(chars: str) -> bytes:
+    """Of either alphabet, without padding; a last character that completes no byte is left out."""
+    chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+    return binascii.a2b_base64(chars.translate(STANDARD) + "=" * (-len(chars) % 4))
+
+
+def stretches(data: bytes, most: int):
+    """(start, end, what it holds) of packed data and of text anywhere in data."""
+    at = 0
+    while m := PACKED.search(data, at):
+        at = m.end()
+        if (inner := inflate(data[m.start() :], most)) is not None and (held := readable(unpacked(inner[0], most))) is not None:
+            at = max(at, m.start() + inner[1])
+            yield m.start(), at, held
+    for m in ASCII.finditer(data):
+        yield m.start(), m.end(), m[0].decode("ascii")
+
+
+def run_pieces(m: re.Match, most: int):
+    """(start, end, what it holds) for a run of BASE64, which may overlap: the run whole; else those
+    of its parts that are text by themselves, and the text and packed data in its four alignments."""
+    run, shift = m[0].rstrip("="), m.start()
+    chars = "".join(run.split())
+    if len(chars) < 16:
+        return
+    places = range(len(run)) if len(chars) == len(run) else [k for k, c in enumerate(run) if not c.isspace()]
+    ends = lambda k: m.end() if k == len(run) else shift + k  # noqa: E731  (with the padding)
+    if len(chars) % 4 != 1 and (held := readable(unpacked(decoded(chars), most))) is not None:
+        yield shift, m.end(), held
+        return
+    known = bytearray(len(run))  # 1 + the alignment in which a character is in a part that is text
+    for part in PARTS:
+        for x in part.finditer(run):
+            if x[0] == run or known[x.start()] or len(x[0]) % 4 == 1:
+                continue
+            if (held := readable(unpacked(decoded(x[0]), most))) is not None:
+                known[x.start() : x.end()] = bytes([1 + bisect_left(places, x.start()) % 4]) * len(x[0])
+                yield shift + x.start(), ends(x.end()), held
+    for k in range(4):
+        for a, b, held in stretches(decoded(chars[k:]), most):
+            start, end = places[k + a * 4 // 3], places[k - (-b * 4 // 3) - 1] + 1
+            if not known[start] == known[end - 1] == k + 1:
+                yield shift + start, ends(end), held
+
+
+def base64_layers(text: str, most: int) -> list[list[tuple[int, int, str]]]:
+    """Lists of pieces; a piece that overlaps another of its run is in a further list."""
+    layers: list[list[tuple[int, int, str]]] = []
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        for _ in range(64):  # packed data may hold packed data
-            if not data.startswith(MAGIC) or (inner := inflate(data, most)) is None or inner == data:
-                break
-            data = inner
-        if (held := readable(data)) is not None:
-            yield m.start(), m.end(), held
+        for piece in run_pieces(m, most):
+            for own in layers:
+                at = bisect_left(own, piece)
+                if (at == 0 or own[at - 1][1] <= piece[0]) and (at == len(own) or piece[1] <= own[at][0]):
+                    insort(own, piece)
+                    break
+            else:
+                layers.append([piece])
+    return layers
 
 
 class Layer:
@@ -182,7 +241,7 @@ def scan(text: str | None, max_layer_chars: int = 64 << 20) -> tuple[list, list,
     text = text or ""
     base = sorted(matches(text), key=lambda x: (x[0], x[2], x[1]))
     every = set(base)
-    if "%" not in text and "\\" not in text and not RUN.search(text):
+    if "%" not in text and "\\" not in text and not BASE64.search(text):
         return base, base, 1
     seen, work, n = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, deque([Layer(text)]), 0
     while work:
@@ -190,8 +249,8 @@ def scan(text: str | None, max_layer_chars: int = 64 << 20) -> tuple[list, list,
         n += 1
         if layer.parent is not None:
             every |= {(*layer.back(s, e), k) for s, e, k in matches(layer.text)}
-        for pieces in (url_pieces, unicode_pieces, base64_pieces):
-            inner = layer.unwrap(pieces(layer.text, max_layer_chars))
+        for pieces in (url_pieces(layer.text, max_layer_chars), unicode_pieces(layer.text, max_layer_chars), *base64_layers(layer.text, max_layer_chars)):
+            inner = layer.unwrap(pieces)
             if inner is None:
                 continue
             digest = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()

@@ -245,6 +245,28 @@ def test_secrets_in_layers():
     assert secret_scan.scan("%25%32%35" * 50)[2] >= 2  # ends
 
 
+def test_secrets_in_glued_and_broken_base64():
+    hidden = lambda text, start, end: any(k == 0 and start <= s < e <= end for s, e, k in secret_scan.scan(text)[1])
+    safe = "eyJub3RlIjoiaXMgaXQgb2s_PyIsInBhc3N3b3JkIjoiaHVudGVyMmh1bnRlcjIifQ=="
+    assert (5, 5 + len(safe), 0) in secret_scan.scan(f"see  {safe} .")[1]
+    inner = b"some notes first, then password = hunter2hunter2 and more notes after it, longer than a line"
+    plain, packed = base64.b64encode(inner).decode(), base64.b64encode(gzip.compress(inner)).decode()
+    for held in (plain, packed):
+        for glue in ("y/p/", "abc/", "x", "xy", "xyz", "word-", "a_b_", "q/w-e_r/"):
+            text = f"https://x.{glue}{held} end"
+            assert hidden(text, 10, len(text) - 4), text
+            assert hidden(f"{held.rstrip('=')}-tail end", 0, len(held) + 5), held
+        for eol in ("\n", "\r\n", "\n    "):
+            lines = eol.join(re.findall(".{1,76}", held))
+            assert hidden(f"before: {lines} after", 8, 8 + len(lines)) and hidden(f"word{eol}{lines}{eol}word", 4, 8 + len(lines) + 2 * len(eol)), lines
+            short = eol.join(re.findall(".{1,12}", held))
+            assert hidden(f"before: {short}", 8, 8 + len(short)), short
+    two = "\n".join(base64.b64encode(x + b" password = hunter2hunter2").decode().rstrip("=") for x in (b"ab", b"abc"))
+    assert {k == 0 and s > two.index("\n") for s, e, k in secret_scan.scan(two)[1]} == {True, False}
+    lone = "\n".join("word" * (k % 7 + 1) for k in range(3000))
+    assert secret_scan.scan(lone)[:2] == ([], [])
+
+
 def test_redaction(spark):
     rows = [(1, "a token = abcdefgh b " + "0" * 30 + " c"), (2, None), (3, "clean")]
     assert {r.doc_id: r.text for r in secret_scan.redacted(table(spark, rows)).collect()} == {1: "a [SECRET] b [SECRET] c", 2: None, 3: "clean"}
