@@ -11,7 +11,8 @@ depth is mapped back to code points of the text itself.
 
 Nulls count as empty texts and have no matches; repeated rows are scanned each by itself;
 other columns are left alone. `max_layer_chars` bounds what one compressed piece may unfold
-to (a decompression bomb is left packed); nothing else is bounded.
+to (a decompression bomb is left packed); nothing else is bounded. A piece need not be text
+throughout: bytes that are none are replaced or left out, and what lies between them is scanned.
 """
 
 from __future__ import annotations
@@ -60,13 +61,22 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _plain(c: str) -> bool:
+    return c.isprintable() or c in "\t\n\r"
+
+
 def readable(data: bytes) -> str | None:
-    """The text in data if it is UTF-8 without control characters."""
+    """The text in data if it is UTF-8 and mostly not control or format characters."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text if text and 4 * sum(map(_plain, text)) >= 3 * len(text) else None
+
+
+def legible(data: bytes) -> str | None:
+    """What is text in data, of any encoding that has ASCII, other bytes replaced."""
+    return data.decode("utf-8", "replace") if ASCII.search(data) else readable(data)
 
 
 def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
@@ -84,8 +94,11 @@ def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
             import zstandard
 
             with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most + 1)
-            return (out, len(data)) if len(out) <= most else None
+                if len(out := r.read(most + 1)) > most:
+                    return None
+            d = zstandard.ZstdDecompressor().decompressobj()
+            d.decompress(data)  # tells where the frame ends
+            return out, len(data) - len(d.unused_data)
         else:
             return None
         out = d.decompress(data, most + 1)
@@ -106,16 +119,19 @@ def unpacked(data: bytes, most: int) -> bytes:
     return data
 
 
+def unpackable(data: bytes, most: int) -> bool:
+    return PACKED.match(data) is not None and inflate(data, most) is not None
+
+
 def url_pieces(text: str, most: int):
-    """(start, end, what it holds) for each escaped run that is UTF-8, a character a piece."""
+    """(start, end, what it holds) for each escaped run, a character a piece; bytes that are not
+    UTF-8 stay escaped."""
     for m in URL.finditer(text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            chars = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
         at = m.start()
-        for c in chars:
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":
+                at += 3
+                continue
             width = 3 * len(c.encode())
             yield at, at + width, c
             at += width
@@ -148,7 +164,7 @@ def stretches(data: bytes, most: int):
     at = 0
     while m := PACKED.search(data, at):
         at = m.end()
-        if (inner := inflate(data[m.start() :], most)) is not None and (held := readable(unpacked(inner[0], most))) is not None:
+        if (inner := inflate(data[m.start() :], most)) is not None and (held := legible(unpacked(inner[0], most))) is not None:
             at = max(at, m.start() + inner[1])
             yield m.start(), at, held
     for m in ASCII.finditer(data):
@@ -164,15 +180,17 @@ def run_pieces(m: re.Match, most: int):
         return
     places = range(len(run)) if len(chars) == len(run) else [k for k, c in enumerate(run) if not c.isspace()]
     ends = lambda k: m.end() if k == len(run) else shift + k  # noqa: E731  (with the padding)
-    if len(chars) % 4 != 1 and (held := readable(unpacked(decoded(chars), most))) is not None:
-        yield shift, m.end(), held
-        return
     known = bytearray(len(run))  # 1 + the alignment in which a character is in a part that is text
+    if len(chars) % 4 != 1 and (held := readable(data := decoded(chars))) is not None and not unpackable(data, most):
+        yield shift, m.end(), held
+        if all(map(_plain, held)):
+            return
+        known = bytearray(b"\1") * len(run)
     for part in PARTS:
         for x in part.finditer(run):
             if x[0] == run or known[x.start()] or len(x[0]) % 4 == 1:
                 continue
-            if (held := readable(unpacked(decoded(x[0]), most))) is not None:
+            if (held := readable(data := decoded(x[0]))) is not None and not unpackable(data, most):
                 known[x.start() : x.end()] = bytes([1 + bisect_left(places, x.start()) % 4]) * len(x[0])
                 yield shift + x.start(), ends(x.end()), held
     for k in range(4):

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from kinsift.llm import decontamination, language, mixing, near_dedup, quality_rules, secret_scan, substrings, toxicity, windows
@@ -267,6 +271,27 @@ def test_secrets_in_glued_and_broken_base64():
     assert secret_scan.scan(lone)[:2] == ([], [])
 
 
+def test_secrets_in_layers_that_are_not_all_text():
+    inner = "password = hunter2hunter2"
+    for mixed in ("\ufeff" + inner, "a\0" + inner, inner + "\u00a0x", "\u200b" + inner + "\f", "note: " + "\0" * 90 + inner):
+        for data in (mixed.encode(), gzip.compress(mixed.encode())):
+            held = base64.b64encode(data).decode()
+            assert any(k == 0 and 7 <= s < e <= 7 + len(held) for s, e, k in secret_scan.scan(f"before {held} after")[1]), mixed
+    latin = f"caf\u00e9 {inner} \u00e9t\u00e9".encode("latin-1")
+    for held in map(base64.b64encode, (latin, gzip.compress(latin), gzip.compress(gzip.compress(bytes(range(256)) + latin)))):
+        assert any(k == 0 and 7 <= s < e <= 7 + len(held) for s, e, k in secret_scan.scan(f"before {held.decode()} after")[1])
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):  # streams one after another, each with a secret
+        lines = [base64.b64encode(pack(f"{inner} {'x' * k}".encode())).decode().rstrip("=") for k in range(6)]
+        found, at = secret_scan.scan("\n".join(lines))[1], 0
+        for x in lines:
+            assert any(k == 0 and s <= at + 4 and at < e <= at + len(x) + 4 for s, e, k in found), (pack, lines, found)
+            at += len(x) + 1
+    url = "%E9" + "".join(f"%{b:02X}" for b in inner.encode()) + "%C3"
+    assert (3, len(url) - 3, 0) in secret_scan.scan(url)[1]
+    accent = "".join(f"%{b:02X}" for b in "é".encode())
+    assert (len(accent) + 3, len(accent) + 3 + 3 * len(inner), 0) in secret_scan.scan(accent + url)[1]
+
+
 def test_redaction(spark):
     rows = [(1, "a token = abcdefgh b " + "0" * 30 + " c"), (2, None), (3, "clean")]
     assert {r.doc_id: r.text for r in secret_scan.redacted(table(spark, rows)).collect()} == {1: "a [SECRET] b [SECRET] c", 2: None, 3: "clean"}
