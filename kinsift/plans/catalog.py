@@ -1,7 +1,8 @@
 """All registered queries over whole tables, and SQL for the same rows.
 
-Offers are derived from parts and line items (`sources.products`). Pairs for the queries on
-similarity are blocks of four neighbouring parts, whose offers are alike and not alike.
+Offers are derived from parts and line items (`sources.products`). Clusters and epsilon are found
+over all LSH candidates. Pairs for the single steps of similarity, held against SQL, are blocks of
+four neighbouring parts, whose offers are alike and not alike.
 """
 
 from __future__ import annotations
@@ -328,18 +329,23 @@ def dissimilarity(s, d):
     return rounded(similarity.dissimilarity(_scored(s, d)), "dissim")
 
 
-def _edges(s, d) -> DataFrame:
-    return scratch.written(similarity.dissimilarity(_scored(s, d)), "dissim")
+def _candidates(s, d) -> DataFrame:
+    return scratch.written(lsh_candidates(s, d), "candidates")
+
+
+def _edges(s, d, candidates: DataFrame) -> DataFrame:
+    return experiment.scored_edges(candidates, products(s, d), features(s, d), lexicon=LEXICON)
 
 
 @query
 def epsilon_components(s, d):
-    return clustering.epsilon_components(_edges(s, d), 0.5).select(F.col("node").alias("product_idx"), F.col("least").alias("component"))
+    edges = scratch.written(similarity.dissimilarity(_scored(s, d)), "dissim")
+    return clustering.epsilon_components(edges, 0.5).select(F.col("node").alias("product_idx"), F.col("least").alias("component"))
 
 
 @query
 def clusters(s, d):
-    return clustering.clusters(offered(s, d), _edges(s, d), 0.5)
+    return clustering.clusters(offered(s, d), _edges(s, d, _candidates(s, d)), 0.5)
 
 
 @query
@@ -376,7 +382,8 @@ def pair_metrics(s, d):
 
 @query
 def epsilon_grid_best(s, d):
-    grid = experiment.epsilon_grid(_edges(s, d), cross_shop(s, d), scratch.written(true_pairs(s, d), "truth"))
+    every = _candidates(s, d)
+    grid = experiment.epsilon_grid(_edges(s, d, every), every, scratch.written(true_pairs(s, d), "truth"))
     return rounded(experiment.best(grid), "f1")
 
 

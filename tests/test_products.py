@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinsift.functions import text as T
 from kinsift.operators import blocking, brands, clustering, components, evaluation, minhash, similarity, vocabulary
-from kinsift.plans import experiment
+from kinsift.plans import catalog, experiment
 from kinsift.sources import products as P
 from kinsift.sources import results
 from kinsift.streaming import listings
@@ -195,3 +195,28 @@ def test_stream_of_listings(spark, tmp_path):
     q = listings.for_each(listings.words(listings.cleaned(listings.read(spark, str(tmp_path / "in")))), lambda df, _: seen.extend(sorted(r.word for r in df.collect())), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert seen == ["29inch", "60hz"]
+
+
+def test_clusters_and_epsilon_over_all_candidates(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "R", 4)  # more candidates between different parts
+    every = {tuple(r) for r in catalog.lsh_candidates(spark, d).collect()}
+    offers = {r.product_idx: r for r in catalog.offered(spark, d).collect()}
+    # brand 1 is found in brand 11 to brand 15, and so on
+    brand = lambda k: offers[k].p_brand.lower().replace("brand#", "")[:1]
+    left = [p for p in every if offers[p[0]].shop != offers[p[1]].shop and brand(p[0]) == brand(p[1])]
+    assert any(i // 16 != j // 16 for i, j in left) and len(left) < len(every)
+    pairs = spark.createDataFrame(left, "i long, j long")
+    scored = similarity.dissimilarity(similarity.pair_similarity(pairs, catalog.products(spark, d), catalog.features(spark, d)))
+    edges = {(r.i, r.j): r.dissim for r in scored.collect()}
+    assert set(edges) == set(left)
+    joined = lambda eps: clustering.agglomerate(list(offers), edges, eps)
+    assert {r.product_idx: r.cluster_id for r in catalog.clusters(spark, d).collect()} == joined(0.5)
+    truth, scores = {tuple(r) for r in catalog.true_pairs(spark, d).collect()}, []
+    for eps in experiment.EPSILONS:
+        own = joined(eps)
+        hits = sum(own[i] == own[j] for i, j in truth)
+        pq, pc = hits / len(every), hits / len(truth)
+        scores.append((round(2 * pq * pc / (pq + pc), 6) if hits else 0.0, -eps))
+    got = catalog.epsilon_grid_best(spark, d).first()
+    assert (got.f1, -got.epsilon) == max(scores)
