@@ -4,10 +4,8 @@
 part, sorted within, and compared with their neighbours (see `windows`); what a string of
 `BYTES.window` bytes covers that also starts anywhere else goes.
 
-`by_parsing` works on words: documents are factored against the documents before them (by id). A
-block is a phrase of the reference index; equal blocks are factors as they are, and where a
-block differs from those indexed (a factor begins or ends in it) the windows at the boundary
-are checked one by one. Words inside windows that a document of smaller id has go.
+`by_parsing` works on words, by the same blocks of windows; no document is parsed into factors.
+Words inside windows that a document of smaller id has go.
 
 Null texts are empty; a null id is before all others and has nothing before it; rows that share
 an id are not before each other (by_parsing) but are copies of each other (by_suffixes).
