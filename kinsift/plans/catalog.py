@@ -334,7 +334,8 @@ def _candidates(s, d) -> DataFrame:
 
 
 def _edges(s, d, candidates: DataFrame) -> DataFrame:
-    return experiment.scored_edges(candidates, products(s, d), features(s, d), lexicon=LEXICON)
+    p, f = scratch.written(products(s, d), "products"), scratch.written(features(s, d), "features")
+    return experiment.scored_edges(candidates, p, f, lexicon=LEXICON)
 
 
 @query
