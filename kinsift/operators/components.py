@@ -29,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = scratch.written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        e = scratch.written(_small(_large(e).where("u <> v").distinct()).where("u <> v").distinct(), "stars")
+        last, e = e, scratch.written(_small(_large(e).where("u <> v").distinct()).where("u <> v").distinct(), "stars")
+        scratch.discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == mark or not now["n"]:
             break
