@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.plans import scratch
-
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN = re.compile(r"<(\\*)\|")
 _MARKED = re.compile(r"<\\(\\*)\|")
@@ -158,8 +156,6 @@ class Reader:
 def formatted(conversations: DataFrame, texts: bool = True, template: Callable = chatml, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, n_turns, digests read back from the output,
     formatted_chars, rewrites, and (texts) the output, the turns' spans and the loss spans."""
-    spark = conversations.sparkSession
-    scratch.small_batches(spark)
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = rows.schema["conv_id"].dataType
     own = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")

@@ -24,8 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from kinsift.plans import scratch
-
 from . import arrays as A
 
 WINDOW = 10
@@ -195,7 +193,6 @@ def hits(text: Column, tests: Tests) -> Column:
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_test_words: int = MOST_TEST_WORDS, out: str = "_hits") -> DataFrame:
     """docs with a column `out`: n_words, n_hit and items (sorted as strings)."""
-    scratch.small_batches(docs.sparkSession)
     found = [hits(F.col(text_col), t) for t in blocks(benchmark, item_col, item_text, most_test_words)]
     if len(found) == 1:
         docs = docs.withColumn(out, found[0])

@@ -247,5 +247,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score, langs."""
-    scratch.small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), languages(F.col(text_col), model).alias("_l")).select(id_col, held_out(id_col).alias("held_out"), "_l.lang_pred", "_l.score", "_l.langs")

@@ -278,7 +278,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """node and c (the least node of its class, null where nothing can be compared) of each row."""
-    scratch.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col))
     sig = scratch.written(signed(docs, id_col, text_col, bands, rows), "signatures")
     known = sig.where("k1 IS NOT NULL")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsift.plans import scratch
+
 from . import chat_format, decontamination, language, mixing, near_dedup, quality_rules, secret_scan, sql, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,7 +43,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.by_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.by_parsing(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2(F.col("_cut.kept").cast("binary"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

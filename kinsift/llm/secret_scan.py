@@ -31,8 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from kinsift.plans import scratch
-
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # of a maximal run: a shorter one holds no longer one
@@ -312,7 +310,6 @@ def joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of a secret in text_col (overlaps merged) replaced by mark.
     Nulls stay null."""
-    scratch.small_batches(docs.sparkSession)
 
     @arrow_udf("string")
     def cleaned(column: pa.Array) -> pa.Array:
@@ -337,5 +334,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and what `findings` has."""
-    scratch.small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), findings(F.col(text_col)).alias("_f")).select(id_col, "_f.*")

@@ -1,20 +1,20 @@
 """Substring deduplication.
 
-`by_suffixes` works on bytes: suffixes at minimisers are range-partitioned by their leading
-part, sorted within, and compared with their neighbours (see `windows`); what a string of
-`BYTES.window` bytes covers that also starts anywhere else goes.
+`by_suffixes` works on bytes: suffixes at anchors are range-partitioned by their leading
+bytes, sorted, and compared with their neighbours, also across boundaries (see `windows`, `suffixes`); what a
+string of `BYTES.window` bytes covers that also starts anywhere else goes.
 
-`by_parsing` works on words, by the same blocks of windows; no document is parsed into factors.
-Words inside windows that a document of smaller id has go.
+`by_parsing` works on words: what documents have around an anchor is factored against what documents of
+smaller id have there (see `parsing`); words inside windows that one of these has go.
 
-Null texts are empty; a null id is before all others and has nothing before it; rows that share
-an id are not before each other (by_parsing) but are copies of each other (by_suffixes).
+Null texts are empty. In by_suffixes rows that share an id, or have none, are copies of each other like any
+others. In by_parsing an id of any type that can be ordered will do; rows that share an id are not before each other,
+and a row without an id is neither before nor after any other: it loses nothing and is no witness.
+Other columns stay as they are, but for one of the name `out`, which is replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import arrays as A
-from . import windows
+from . import parsing, suffixes, windows
 
 
 def _spans(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +51,11 @@ def kept_bytes():
     return cut
 
 
-def by_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column _cut: n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    found = windows.repeated(docs, windows.BYTES, id_col, text_col, any_other=True)
+def by_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
+    """docs with the column `out`: n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
+    found = windows.repeated(docs, windows.BYTES, id_col, text_col, suffixes.shared, any_other=True)
     joined = windows.with_spans(docs, found, id_col, text_col)
-    return joined.withColumn("_cut", kept_bytes()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)
+    return joined.withColumn(out, kept_bytes()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)
 
 
 def kept_words():
@@ -79,12 +79,8 @@ def kept_words():
     return cut
 
 
-def by_parsing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column _cut: n_words, n_removed and kept (words joined by one space)."""
-    found = windows.repeated(docs, windows.WORDS, id_col, text_col, any_other=False)
+def by_parsing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
+    """docs with the column `out`: n_words, n_removed and kept (words joined by one space)."""
+    found = windows.repeated(docs, windows.WORDS, id_col, text_col, parsing.factored, any_other=False)
     joined = windows.with_spans(docs, found, id_col, text_col)
-    return joined.withColumn("_cut", kept_words()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    return joined.withColumn(out, kept_words()(F.col(text_col), F.col(windows.SPANS))).drop(windows.SPANS)

@@ -220,6 +220,5 @@ def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
 
 def toxic(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted, n_hits, n_words."""
-    scratch.small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col), scores(F.col(text_col), model).alias("_s"))
     return found.select(id_col, held_out(id_col).alias("held_out"), "_s.score", (F.col("_s.score") >= threshold).cast("int").alias("predicted"), "_s.n_hits", "_s.n_words")

@@ -1,33 +1,34 @@
-"""Which windows of a fixed length occur elsewhere: the engine of both substring operators.
+"""Which windows of a fixed length occur elsewhere: what both substring operators share.
 
 A corpus has as many windows as bytes (or words), too many to move. Each window is therefore
-named by its minimiser: of the k-grams inside it, the leftmost of those with the least hash.
-Equal windows have equal minimisers at equal places, so only suffixes that start at a minimiser
-(one in about a hundred) are compared. Consecutive windows with the same minimiser are a
-*block*: its k-gram is the leading part of the suffix, its bytes are the context.
-
-* A k-gram that occurs once has no repeated window.
-* If all blocks of a k-gram are equal, all their windows are repeated.
-* Else windows repeat in part: here a passage begins or ends. The distinct blocks of such
-  k-grams, one occurrence each, are range-partitioned by their leading part, sorted by
-  what follows it and by what precedes it (`sorted_lcp`), and the shared lengths say which
-  windows are equal.
-
-Blocks of a k-gram with very many distinct contexts (`HOT_GRAM`) are not sorted in one task:
-their windows become rows of hashes, which Spark counts with partial aggregation.
-
-Counting is by partial aggregation, so that a passage that a third of all documents share is a
-few rows for each task; joins back to occurrences are plain equi-joins, which adaptive
-execution splits where a key is hot.
+named by its anchor, the minimiser: of the k-grams inside it, the leftmost of those with the least hash.
+Equal windows have equal anchors at equal places, so only what stands around an anchor
+(one in about a hundred) is compared. Consecutive windows with the same anchor are a
+*block*; its units are the *context* of the anchor.
+
+* An anchor whose k-gram occurs once has no repeated window.
+* Equal blocks are counted as one before anything is sorted (pre-aggregation): a passage that a third of
+  all documents share is a few rows for each task.
+* Distinct contexts of a k-gram are range-partitioned by their leading units from the anchor on, with splitters
+  that Spark samples, and go in that order through a solver: `suffixes` sorts them, `parsing` factors them.
+
+No k-gram is bound to one task. Splitters may cut through the contexts of a k-gram, and so does a task whose
+piece grows beyond PIECE_BYTES. A k-gram that has been cut is found by comparing both sides of each boundary
+(`compared`); of each side only those windows go on that have no witness on their own side, or are
+one. They are partitioned anew by more leading units: windows with at most
+lo..hi units before the anchor share the units from `lo` before to `window - hi` after it, so that halving lo..hi
+gives longer and longer keys, down to the window itself. Each round doubles a row at most, and there
+are as many as halvings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,7 @@ from kinsift.plans import scratch
 
 from . import arrays as A
 
-HOT_GRAM = 20_000
-GROUP_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20  # contexts that are held in memory together
 PIECE = 1 << 22  # units of a long text that are looked at together; places must fit in 24 bits
 
 
@@ -148,10 +148,15 @@ def _piece(codes: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarr
     return row, first - begin, count, mini - begin, grams[mini], _block_hash(sums, first, count, mini, unit)
 
 
+def row_hash(text_col: str):
+    """Tells rows that share an id (or have none) apart."""
+    return F.xxhash64(F.col(text_col))
+
+
 def occurrences(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
     """All blocks: gram, block, doc, sig (a hash of the text, so that rows that share an id
     are told apart), first, n."""
-    src = docs.select(F.col(id_col).alias("doc"), F.hash(F.col(text_col)).alias("sig"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("doc"), row_hash(text_col).alias("sig"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,121 +167,26 @@ def occurrences(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> Data
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64)), part.column("doc").take(take), part.column("sig").take(take), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["gram", "block", "doc", "sig", "first", "n"])
 
-    return src.mapInArrow(emit, f"gram bigint, block bigint, doc {kind}, sig int, first int, n int")
-
-
-def sorted_lcp(x: np.ndarray, group: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey sort of the rows of x (columns of bytes or words) within groups: the rows that
-    tie in a column go on to the next. Returns the order and, for each place, the number of
-    leading columns shared with the row before (0 at the start of a group). depth: the
-    number of columns that a row has; ties end there."""
-    n, width = x.shape
-    order = np.argsort(group, kind="stable")
-    g = group[order]
-    tie = np.concatenate(([False], g[1:] == g[:-1])) if n else np.zeros(0, bool)
-    lcp = np.zeros(n, np.int64)
-    for c in range(width):
-        idx = np.flatnonzero(tie | np.concatenate((tie[1:], [False])))
-        if not len(idx):
-            break
-        part = np.cumsum(~tie)[idx]
-        key = x[order[idx], c]
-        sub = np.lexsort((key, part))
-        order[idx] = order[idx[sub]]
-        key, part = key[sub], part[sub]
-        same = np.zeros(len(idx), bool)
-        same[1:] = (part[1:] == part[:-1]) & (key[1:] == key[:-1])
-        tie = np.zeros(n, bool)
-        tie[idx] = same
-        lcp[tie] = c + 1
-    return order, lcp
-
-
-def _wide(rows: list[np.ndarray], width: int, dtype) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    if lengths.sum():
-        r = np.repeat(np.arange(len(rows)), lengths)
-        c = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[r, c] = np.concatenate(rows)
-    return out
-
-
-def _chunked(x: np.ndarray) -> np.ndarray:
-    """Eight bytes to a column, so that a sort compares eight at once."""
-    if x.dtype != np.uint8:
-        return x
-    pad = -x.shape[1] % 8
-    return np.ascontiguousarray(np.pad(x, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-
-
-def shared_windows(group: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], n: np.ndarray, unit: Unit, value: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each block, the runs of its windows (counted from its first) whose content also
-    stands in another block of its group that has a smaller value (value: equal for all, then any
-    other block will do).
-
-    left: what precedes the minimiser, from it backwards; right: what starts with it. A window
-    with `a` units before the minimiser is shared if `a` units to the left and window - a to the
-    right are. Blocks are sorted once by each side; for each `a` the shared lengths between
-    neighbours give classes of equal sides, and blocks in the same pair of classes share the window.
-    """
-    m, w = len(group), unit.window
-    la = np.array([len(x) for x in left], np.int64)
-    dtype = np.uint64 if unit.words else np.uint8
-    span_l, span_r = int(la.max(initial=0)), max((len(x) for x in right), default=0)
-    any_other = len(np.unique(value)) <= 1
-    ranks = []
-    for rows, width in ((left, span_l), (right, span_r)):
-        wide = _wide(rows, max(1, width), dtype)
-        order, lcp = sorted_lcp(_chunked(wide), group, la)
-        if dtype is np.uint8:  # the exact number of bytes
-            prev = np.concatenate((order[:1], order[:-1]))
-            diff = wide[order] != wide[prev]
-            exact = np.where(diff.any(axis=1), diff.argmax(axis=1), wide.shape[1])
-            exact[np.concatenate(([True], group[order][1:] != group[order][:-1]))] = 0
-            lcp = exact
-        ranks.append((order, lcp, np.concatenate(([True], group[order][1:] != group[order][:-1]))))
-    hit = [[] for _ in range(m)]
-    lo_a = la - n + 1  # of the last window
-    for a in range(int(lo_a.min(initial=0)), span_l + 1):
-        valid = (a >= lo_a) & (a <= la)
-        if valid.sum() < 2:
-            continue
-        cls = []
-        for (order, lcp, start), need in zip(ranks, (a, w - a), strict=True):
-            c = np.empty(m, np.int64)
-            c[order] = np.cumsum(start | (lcp < need))
-            cls.append(c)
-        idx = np.flatnonzero(valid)
-        key = cls[0][idx] * (m + 1) + cls[1][idx]
-        if any_other:
-            _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-            ok = times[inverse] > 1
-        else:
-            _, inverse = np.unique(key, return_inverse=True)
-            least = np.full(inverse.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, inverse, value[idx])
-            ok = least[inverse] < value[idx]
-        for i in idx[ok].tolist():
-            hit[i].append(int(la[i]) - a)
-    out = []
-    for h in hit:
-        runs: list[tuple[int, int]] = []
-        for p in sorted(h):
-            if runs and runs[-1][1] == p:
-                runs[-1] = (runs[-1][0], p + 1)
-            else:
-                runs.append((p, p + 1))
-        out.append(runs)
-    return out
-
-
-def _contexts(reps: DataFrame, docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
-    """The units of each distinct block, read from one occurrence: gram, block, n, need, rank, lead,
-    left and size, and ctx (all units of the block)."""
-    per_doc = reps.groupBy("doc", "sig").agg(F.collect_list(F.struct("gram", "block", "first", "n", "rank", "need", "hot")).alias("want"))
-    src = docs.select(F.col(id_col).alias("d2"), F.hash(F.col(text_col)).alias("s2"), F.col(text_col).alias("text"))
-    joined = src.join(per_doc, (F.col("d2").eqNullSafe(F.col("doc"))) & (F.col("s2") == F.col("sig"))).select("text", "want")
+    return src.mapInArrow(emit, f"gram bigint, block bigint, doc {kind}, sig bigint, first int, n int")
+
+
+def anchors(codes: np.ndarray, starts: np.ndarray, unit: Unit) -> np.ndarray:
+    """Where the anchor stands in each window that begins at `starts`."""
+    if not len(starts):
+        return starts
+    at = np.arange(len(codes) - unit.gram + 1)
+    high = A.spans(A.prefix(unit.hashed(codes)), at, at + unit.gram) >> np.uint64(24)
+    return high[starts[:, None] + np.arange(unit.window - unit.gram + 1)].argmin(axis=1)
+
+
+def contexts(reps: DataFrame, docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
+    """The units of each distinct block, read from one occurrence: gram, block, n, doc, need, mini (where
+    the anchor stands) and ctx (all units of the block, big-endian)."""
+    per_doc = reps.groupBy("doc", "sig").agg(F.collect_list(F.struct("gram", "block", "first", "n", "need")).alias("want"))
+    src = docs.select(F.col(id_col).alias("d2"), row_hash(text_col).alias("s2"), F.col(text_col).alias("text"))
+    joined = src.join(per_doc, (F.col("d2").eqNullSafe(F.col("doc"))) & (F.col("s2") == F.col("sig"))).select("doc", "text", "want")
+    kind = joined.schema["doc"].dataType.simpleString()
+    names = ["gram", "block", "n", "doc", "need", "mini", "ctx"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,114 +196,186 @@ def _contexts(reps: DataFrame, docs: DataFrame, unit: Unit, id_col: str, text_co
                 want = part.column("want")
                 flat = want.flatten()
                 row = np.repeat(np.arange(hi - lo), np.asarray(want.value_lengths()))
-                first = flat.field("first").to_numpy()
-                n = flat.field("n").to_numpy()
-                s = offsets[row] + first
-                e = s + n + unit.window - 1
-                fine = e <= offsets[row + 1]  # rows that share id and hash, but not text: none in practice
-                data = codes.tobytes() if not unit.words else codes.astype("<u8").tobytes()
+                s = offsets[row] + flat.field("first").to_numpy()
+                e = s + flat.field("n").to_numpy() + unit.window - 1
+                data = codes.tobytes() if not unit.words else codes.astype(">u8").tobytes()
                 u = unit.width
-                ctx = [data[x * u : y * u] for x, y in zip(s[fine].tolist(), e[fine].tolist(), strict=True)]
-                keep = flat.filter(pa.array(fine))
-                yield pa.RecordBatch.from_arrays([keep.field(c) for c in ("gram", "block", "n", "rank", "need", "hot")] + [pa.array(ctx, pa.binary())], ["gram", "block", "n", "rank", "need", "hot", "ctx"])
+                mini = anchors(codes, s, unit)
+                ctx = [data[x * u : y * u] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+                docs_of = part.column("doc").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("block"), flat.field("n"), docs_of, flat.field("need"), pa.array(mini, pa.int32()), pa.array(ctx, pa.binary())], names)
 
-    return joined.mapInArrow(emit, "gram bigint, block bigint, n int, rank bigint, need boolean, hot boolean, ctx binary")
+    return joined.mapInArrow(emit, f"gram bigint, block bigint, n int, doc {kind}, need boolean, mini int, ctx binary")
 
 
-def _minimiser(codes: np.ndarray, unit: Unit) -> int:
-    """Where the minimiser of a block stands in it: that of its first window."""
-    sums = A.prefix(unit.hashed(codes))
-    at = np.arange(unit.window - unit.gram + 1)
-    g = A.spans(sums, at, at + unit.gram)
-    return int(((g & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)).argmin())
+@dataclass
+class Piece:
+    """Contexts in order, for a solver. open: which windows count (rows x windows)."""
 
+    group: np.ndarray  # equal for the contexts of a group; groups stand together
+    doc: list
+    n: np.ndarray
+    mini: np.ndarray
+    codes: list[np.ndarray]
+    lo: np.ndarray
+    hi: np.ndarray
+    open: np.ndarray
+    need: np.ndarray
 
-def _sorted_runs(contexts: DataFrame, unit: Unit) -> DataFrame:
-    """gram, block, runs: range-partitions blocks by their k-gram and sorts each group."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+#: (hit, on): which windows of a piece have a witness in it; which have to go on to other pieces.
+Solver = Callable[[Piece, Unit], tuple[np.ndarray, np.ndarray]]
 
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            codes = [np.frombuffer(r[4], np.uint64 if unit.words else np.uint8) for r in rows]
-            mini = [_minimiser(c, unit) for c in codes]
-            group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
-            found = shared_windows(group, [c[:m][::-1] for c, m in zip(codes, mini, strict=True)], [c[m:] for c, m in zip(codes, mini, strict=True)], np.array([r[2] for r in rows], np.int64), unit, np.array([r[3] for r in rows], np.int64))
-            keep = [(r[0], r[1], [{"start": a, "end": b} for a, b in f]) for r, f in zip(rows, found, strict=True) if f and r[5]]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["gram", "block", "runs"])
 
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("gram", "block", "n", "rank", "ctx", "need")), strict=True):
-                if r[0] != last and size > GROUP_BYTES:
-                    yield close(held)
-                    held, size = [], 0
-                last = r[0]
-                held.append(r)
-                size += len(r[4])
-        if held:
-            yield close(held)
+def _piece_of(rows: list[tuple], unit: Unit) -> Piece:
+    group = np.cumsum([k > 0 and (r["lo"], r["key"]) != (rows[k - 1]["lo"], rows[k - 1]["key"]) for k, r in enumerate(rows)])
+    n, mini, lo, hi = (np.array([r[c] for r in rows], np.int64) for c in ("n", "mini", "lo", "hi"))
+    w = np.arange(n.max())
+    a = mini[:, None] - w  # units before the anchor
+    is_open = (w < n[:, None]) & (a >= lo[:, None]) & (a <= hi[:, None])
+    for k, r in enumerate(rows):
+        if r["open"] is not None:
+            is_open[k, : n[k]] &= np.unpackbits(np.frombuffer(r["open"], np.uint8), count=n[k]).astype(bool)
+    codes = [np.frombuffer(r["ctx"], ">u8" if unit.words else np.uint8).astype(np.uint64 if unit.words else np.uint8, copy=False) for r in rows]
+    return Piece(group, [r["doc"] for r in rows], n, mini, codes, lo, hi, is_open, np.array([r["need"] for r in rows], bool))
 
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = contexts.repartitionByRange(parts, "gram").sortWithinPartitions("gram", "block")
-    return ranged.mapInArrow(emit, "gram bigint, block bigint, runs array<struct<start:int,end:int>>")
 
+def _runs(mask: np.ndarray) -> list[dict]:
+    s, e = A.runs(mask)
+    return [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)]
 
-def _counted_runs(contexts: DataFrame, unit: Unit, any_other: bool) -> DataFrame:
-    """The same for hot k-grams: a row of hashes for each window, counted by Spark."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for gram, block, n, rank, ctx in zip(*(b.column(c).to_pylist() for c in ("gram", "block", "n", "rank", "ctx")), strict=True):
-                codes = unit.hashed(np.frombuffer(ctx, np.uint64 if unit.words else np.uint8))
-                at = np.arange(n)
-                h1 = A.spans(A.prefix(codes), at, at + unit.window)
-                h2 = A.spans(A.prefix(A.mix(codes)), at, at + unit.window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, block)), pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(n, rank))], ["gram", "block", "at", "h1", "h2", "rank"])
+RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: What goes on to the next round.
+ON = ("gram", "block", "n", "doc", "need", "mini", "ctx", "lo", "hi", "open")
+
 
-    rows = scratch.written(contexts.mapInArrow(emit, "gram bigint, block bigint, at int, h1 bigint, h2 bigint, rank bigint"), "hot")
-    counted = rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("rank").alias("least"))
-    shared = rows.join(counted, ["h1", "h2"]).where("c > 1" if any_other else "least < rank")
-    ranges = F.transform(F.array_sort(F.collect_list("at")), lambda p: F.struct(p.alias("start"), (p + 1).alias("end")))
-    return shared.groupBy("gram", "block").agg(ranges.alias("runs"))
+def _round(rows: DataFrame, unit: Unit, solve: Solver, parts: int, by_doc: bool) -> DataFrame:
+    """Partitions and solves once. Rows with `runs` are results; rows with `kid` go on where their
+    group, `kid`, has been cut."""
+    u, w = unit.width, unit.window
+    lead = F.substring("ctx", (F.col("mini") - F.col("lo")) * u + 1, (F.col("lo") + w - F.col("hi")) * u)
+    keyed = rows.withColumn("key", lead).withColumn("kid", F.xxhash64("lo", "key"))
+    more = F.substring("ctx", (F.col("mini") + w - F.col("hi")) * u + 1, F.lit(4 * u))
+    order = ["lo", "key", *(["doc"] if by_doc else [more]), "block"]
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    doc = rows.schema["doc"].dataType.simpleString()
+    schema = f"gram bigint, block bigint, runs array<struct<start:int,end:int>>, part int, kid bigint, cut boolean, n int, doc {doc}, need boolean, mini int, ctx binary, lo int, hi int, open binary"
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[dict] = []
+        cuts: set = set()
+        size, first, kind = 0, None, None
+
+        def close(at_end: bool) -> pa.RecordBatch:
+            piece = _piece_of(held, unit)
+            hit, on = solve(piece, unit)
+            last = held[-1]["kid"] if at_end else None
+            out: list[dict] = []
+            for k in np.flatnonzero(hit.any(axis=1) & piece.need).tolist():
+                out.append({"gram": held[k]["gram"], "block": held[k]["block"], "runs": _runs(hit[k] & piece.open[k])})
+            for k, r in enumerate(held):
+                if not (r["kid"] == first or r["kid"] == last or r["kid"] in cuts):
+                    continue
+                mask, mid = on[k] & piece.open[k], (r["lo"] + r["hi"]) // 2
+                a = r["mini"] - np.arange(len(mask))
+                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                    if lo <= hi and (mask & (a >= lo) & (a <= hi)).any():
+                        out.append({c: r[c] for c in ON} | {"part": part, "kid": r["kid"], "cut": r["kid"] in cuts, "lo": lo, "hi": hi, "open": np.packbits(mask[: r["n"]]).tobytes()})
+            arrays = [pa.array([r.get(name) for r in out], t) for name, t in kind]
+            return pa.RecordBatch.from_arrays(arrays, [name for name, _ in kind])
 
-def repeated(docs: DataFrame, unit: Unit, id_col: str, text_col: str, any_other: bool) -> DataFrame:
+        for b in batches:
+            if kind is None:
+                fixed = {"gram": pa.int64(), "block": pa.int64(), "runs": RUNS, "part": pa.int32(), "kid": pa.int64(), "cut": pa.bool_(), "n": pa.int32(), "doc": b.schema.field("doc").type, "need": pa.bool_(), "mini": pa.int32(), "ctx": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "open": pa.binary()}
+                kind = list(fixed.items())
+            for r in b.to_pylist():
+                if not held and first is None:
+                    first = r["kid"]
+                if held and size > PIECE_BYTES:
+                    if held[-1]["kid"] == r["kid"]:
+                        cuts.add(r["kid"])
+                    yield close(False)
+                    held, size = [], 0
+                if held and held[-1]["gram"] == r["gram"] and held[-1]["block"] == r["block"] and held[-1]["lo"] == r["lo"]:
+                    continue  # read from a repeated row
+                held.append(r)
+                size += len(r["ctx"])
+        if held:
+            yield close(True)
+
+    return ranged.mapInArrow(emit, schema)
+
+
+def compared(rows: DataFrame, unit: Unit, solve: Solver, by_doc: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """gram, block, runs (of windows of the block, counted from its first) that have a witness; and
+    the tables that it is read from."""
+    spark = rows.sparkSession
+    most = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(unit.window - unit.gram), "open": F.lit(None).cast("binary")})
+    found, made = [], []
+    while True:
+        out = scratch.written(_round(rows, unit, solve, parts, by_doc), "compared")
+        found.append(out.where("runs IS NOT NULL").select("gram", "block", "runs"))
+        on = out.where("kid IS NOT NULL")
+        # both sides of every boundary: a group that two partitions end with or begin with, or that a task has cut
+        cut = on.groupBy("kid").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("cut").alias("c")).where("c OR p0 <> p1").select("kid")
+        rows = scratch.written(on.join(cut, "kid", "left_semi").select(*ON), "cut")
+        made += [out, rows]
+        size = rows.agg(F.coalesce(F.sum(F.length("ctx")), F.lit(0)).alias("s")).first()["s"]
+        if not size:
+            break
+        one = rows.where("lo = hi")  # the key is the window itself: nothing is left to sort
+        window = one.select("gram", "block", "doc", "need", (F.col("mini") - F.col("lo")).alias("at"), F.substring("ctx", (F.col("mini") - F.col("lo")) * unit.width + 1, F.lit(unit.window * unit.width)).alias("window"))
+        seen = scratch.written(window.groupBy("window").agg(F.count("*").alias("times"), F.min("doc").alias("least")), "windows")
+        made.append(seen)
+        same = window.where("need").join(seen, "window").where("doc > least" if by_doc else "times > 1")
+        found.append(same.select("gram", "block", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("runs")))
+        rows = rows.where("lo < hi")
+        parts = max(1, min(most, -(-size // PIECE_BYTES)))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("gram", "block").agg(F.flatten(F.collect_set("runs")).alias("runs")), made
+
+
+def repeated(docs: DataFrame, unit: Unit, id_col: str, text_col: str, solve: Solver, any_other: bool) -> DataFrame:
     """doc, sig, spans: for each document the ranges of units (not merged) that repeated windows cover.
 
     any_other: a window is repeated if it starts anywhere else; else if it starts in a row with
-    a smaller id."""
-    spark = docs.sparkSession
-    scratch.small_batches(spark)
+    a smaller id (rows without an id are then left out)."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    occ = occurrences(docs, unit, id_col, text_col)
+    if not any_other:
+        docs = docs.where(F.col(id_col).isNotNull())
+    occ = every = scratch.written(occurrences(docs, unit, id_col, text_col), "occurrences")
     grams = occ.groupBy("gram").agg(F.count("*").alias("times"), F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("doc").alias("d0"))
-    grams = grams.where("times > 1").withColumn("mixed", F.col("b0") != F.col("b1")).select(F.col("gram").alias("g2"), "mixed", "d0")
+    # written, so that adaptive execution can split the join below where a k-gram is hot
+    grams = scratch.written(grams.where("times > 1").select(F.col("gram").alias("g2"), (F.col("b0") != F.col("b1")).alias("mixed"), "d0"), "grams")
     occ = occ.join(grams, F.col("gram") == F.col("g2")).drop("g2")
     if not any_other:
         # where a k-gram is first, no window of it has been before; but its block may be a witness
         occ = occ.where(F.col("mixed") | (F.col("doc") > F.col("d0")))
     occ = scratch.written(occ.select("gram", "block", "doc", "sig", "first", "n", "mixed"), "blocks")
+    scratch.discard(every, grams)
     sure = occ.where("NOT mixed").select("doc", "sig", F.col("first").alias("start"), (F.col("first") + F.col("n") + F.lit(unit.window - 1)).alias("end"))
     blocks = occ.where("mixed").groupBy("gram", "block").agg(F.count("*").alias("times"), F.min("doc").alias("d0"), F.min(F.struct("doc", "sig", "first", "n")).alias("r"))
     blocks = scratch.written(blocks.select("gram", "block", "times", "d0", "r.*"), "distinct")
-    groups = blocks.groupBy("gram").agg(F.count("*").alias("distinct"), F.min("d0").alias("gd0"))
-    need = (F.col("times") == 1) if any_other else F.coalesce(F.col("d0") > F.col("gd0"), F.lit(False))
-    rank = F.lit(0).cast("long") if any_other else F.col("d0").cast("long")
-    reps = blocks.join(groups.select(F.col("gram").alias("g2"), "distinct", "gd0"), F.col("gram") == F.col("g2"))
-    reps = reps.select("gram", "block", "doc", "sig", "first", "n", rank.alias("rank"), need.alias("need"), (F.col("distinct") > HOT_GRAM).alias("hot"))
-    contexts = scratch.written(_contexts(reps, docs, unit, id_col, text_col), "contexts")
-    runs = _sorted_runs(contexts.where("NOT hot"), unit)
-    if contexts.where("hot").limit(1).count():
-        runs = runs.unionByName(_counted_runs(contexts.where("hot"), unit, any_other).select("gram", "block", F.expr("transform(runs, x -> struct(cast(x.start as int) as start, cast(x.end as int) as end))").alias("runs")))
+    groups = blocks.groupBy("gram").agg(F.min("d0").alias("gd0")).select(F.col("gram").alias("g2"), "gd0")
+    need = (F.col("times") == 1) if any_other else (F.col("d0") > F.col("gd0"))
+    reps = blocks.join(groups, F.col("gram") == F.col("g2")).select("gram", "block", "doc", "sig", "first", "n", need.alias("need"))
+    read = scratch.written(contexts(reps, docs, unit, id_col, text_col), "contexts")
+    runs, made = compared(read, unit, solve, by_doc=not any_other)
     # what is known of each distinct block: all its windows (for occurrences after its first) and runs
     known = blocks.select(F.col("gram").alias("g2"), F.col("block").alias("k2"), F.col("times").alias("t2"), F.col("d0").alias("first_doc")).join(runs.select(F.col("gram").alias("g3"), F.col("block").alias("k3"), "runs"), (F.col("g2") == F.col("g3")) & (F.col("k2") == F.col("k3")), "left").drop("g3", "k3")
+    known = scratch.written(known.where("t2 > 1 OR runs IS NOT NULL"), "known")
+    scratch.discard(blocks, read, *made)
     whole = (F.col("t2") > 1) if any_other else (F.col("doc") > F.col("first_doc"))
-    part = occ.where("mixed").join(known.where("t2 > 1 OR runs IS NOT NULL"), (F.col("gram") == F.col("g2")) & (F.col("block") == F.col("k2")))
-    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
-    part = part.select("doc", "sig", "first", F.explode(F.when(whole, every).otherwise(F.col("runs"))).alias("x"))
+    part = occ.where("mixed").join(known, (F.col("gram") == F.col("g2")) & (F.col("block") == F.col("k2")))
+    all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
+    part = part.select("doc", "sig", "first", F.explode(F.when(whole, all_of).otherwise(F.col("runs"))).alias("x"))
     part = part.select("doc", "sig", (F.col("first") + F.col("x.start")).alias("start"), (F.col("first") + F.col("x.end") + F.lit(unit.window - 1)).alias("end"))
-    return sure.unionByName(part).groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return sure.unionByName(part).groupBy("doc", "sig").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 SPANS = "__ks_spans"
@@ -402,6 +384,6 @@ SPANS = "__ks_spans"
 def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs (all rows and columns) with the column SPANS, null where there are none."""
     found = found.select(F.col("doc").alias("__ks_doc"), F.col("sig").alias("__ks_sig"), F.col("spans").alias(SPANS))
-    own = docs.withColumn("__ks_own", F.hash(F.col(text_col)))
+    own = docs.withColumn("__ks_own", row_hash(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__ks_doc")) & (F.col("__ks_own") == F.col("__ks_sig"))
     return own.join(found, same, "left").drop("__ks_doc", "__ks_sig", "__ks_own")

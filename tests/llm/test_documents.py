@@ -15,9 +15,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinsift.llm import decontamination, language, mixing, near_dedup, quality_rules, secret_scan, substrings, toxicity, windows
+from kinsift.llm import decontamination, language, mixing, near_dedup, parsing, quality_rules, secret_scan, substrings, toxicity, windows
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,8 +49,13 @@ def corpus(seed=5):
     return rows
 
 
-def test_suffixes_against_brute_force(spark):
-    rows = corpus() + [(4, corpus()[4][1]), (None, corpus()[9][1])]
+PIECES = pytest.mark.parametrize("piece", [windows.PIECE_BYTES, 4000])  # the small one cuts through groups
+
+
+@PIECES
+def test_suffixes_against_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(windows, "PIECE_BYTES", piece)
+    rows = corpus() + [(4, corpus()[4][1]), (None, corpus()[9][1]), (None, corpus()[10][1] + " x"), *edges()]
     counts = Counter(t[p : p + 200] for _, x in rows for t in [(x or "").encode()] for p in range(len(t) - 199))
 
     def want(x):
@@ -57,43 +64,72 @@ def test_suffixes_against_brute_force(spark):
         for p in range(len(t) - 199):
             if counts[t[p : p + 200]] > 1:
                 gone[p : p + 200] = b"\x01" * 200
-        return len(t), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
+        return len(t), sum(gone), len(re.findall(b"\x01+", bytes(gone))), bytes(c for c, g in zip(t, gone) if not g)
 
-    got = substrings.by_suffixes(table(spark, rows)).select("doc_id", "text", "_cut.*").collect()
+    got = substrings.by_suffixes(table(spark, rows)).select("doc_id", "text", "_spans", "cut.*").collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r.n_bytes, r.n_removed, r.n_spans, substrings.digest(bytes(r.kept))) == want(r.text), r.doc_id
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want(r.text), r.doc_id
+
+
+def edges():
+    """One passage between words of its own in each text: all contexts of its ends are distinct."""
+    rng = random.Random(8)
+    passage = prose(rng, 90, 5000)
+    return [(300 + k, f"{prose(rng, 30, 10**6)} {passage} {prose(rng, 30, 10**6)}") for k in range(60)]
 
 
 def brute_words(rows):
-    first, out = defaultdict(lambda: 10**9), {}
+    first, out = {}, {}
     split = {k: SPACED.findall(x or "") for k, (_, x) in enumerate(rows)}
     for k, (i, _) in enumerate(rows):
         for p in range(len(split[k]) - 49):
             key = tuple(split[k][p : p + 50])
-            first[key] = min(first[key], i)
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
     for k, (i, x) in enumerate(rows):
         gone = set()
         for p in range(len(split[k]) - 49):
-            if first[tuple(split[k][p : p + 50])] < i:
+            if i is not None and first[tuple(split[k][p : p + 50])] < i:
                 gone |= set(range(p, p + 50))
         out[i, x] = (len(split[k]), len(gone), " ".join(w for j, w in enumerate(split[k]) if j not in gone))
     return out
 
 
-def test_parsing_against_brute_force(spark):
-    rows = corpus()
+@PIECES
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_parsing_against_brute_force(spark, monkeypatch, piece, kind):
+    monkeypatch.setattr(windows, "PIECE_BYTES", piece)
+    base = [*corpus(), *edges()]
+    rows = [(i if kind == "long" else str(i), x) for i, x in base]
+    # repeated rows, and rows without an id that begin like others and end differently
+    rows += [rows[4], rows[4], rows[9], (None, base[4][1]), (None, base[4][1][:900] + " other"), (None, base[9][1])]
     want = brute_words(rows)
-    for r in substrings.by_parsing(table(spark, rows)).select("doc_id", "text", "_cut.*").collect():
+    df = table(spark, rows) if kind == "long" else table(spark, [(k, x) for k, (_, x) in enumerate(rows)]).join(spark.createDataFrame([(k, i) for k, (i, _) in enumerate(rows)], "doc_id long, name string"), "doc_id").drop("doc_id").withColumnRenamed("name", "doc_id")
+    got = substrings.by_parsing(df).select("doc_id", "text", "score", "cut.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
         assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id, r.text], r.doc_id
 
 
-def test_hot_kgrams_take_the_counted_path(spark, monkeypatch):
-    monkeypatch.setattr(windows, "HOT_GRAM", 1)
-    rows = corpus()
-    want = brute_words(rows)
-    for r in substrings.by_parsing(table(spark, rows)).select("doc_id", "text", "_cut.*").collect():
-        assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id, r.text], r.doc_id
+WORDS_OF_FEW = st.lists(st.integers(0, 2), max_size=40)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(WORDS_OF_FEW, min_size=1, max_size=5), WORDS_OF_FEW, st.integers(1, 6))
+def test_factors_are_greedy_and_boundaries_are_checked(known, words, window):
+    reference = parsing.Reference()
+    for x in known:
+        reference.add(x)
+    strings = {tuple(x[a:b]) for x in known for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+    factors, hits = reference.parse(words, window)
+    at = 0
+    for start, length in factors:
+        assert start == at and (not length or tuple(words[at : at + length]) in strings)
+        assert at + length == len(words) or tuple(words[at : at + length + 1]) not in strings
+        at += max(1, length)
+    assert at == len(words)
+    assert set(hits) == {q for q in range(len(words) - window + 1) if tuple(words[q : q + window]) in strings}
 
 
 @pytest.mark.parametrize("unit", [windows.BYTES, windows.WORDS])
