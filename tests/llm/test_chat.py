@@ -28,16 +28,42 @@ def test_spans_hold_the_texts(turns):
     assert "".join(got.text[a:b] for a, b in got.spans) == got.text
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.integers(1, 14), st.integers(0, 16))
+def test_a_rewrite_at_any_one_length_is_found(n, at):
+    box = lambda turns: ("!" if len(turns) == at else "") + "".join(f"[{r}]{t}" for r, t in turns)
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(n)]
+    got = C.render(turns, box)
+    # one turn that is rewritten shows with the second: what the template makes of no turn is empty
+    assert got.rewrites == (1 if at == 0 else (2 if n > 1 else 0) if at == 1 else at if at <= n else 0)
+    assert got.text == box(turns) and [got.text[a:b] for a, b in got.inner] == [t for _, t in turns]
+
+
 def test_rewriting_templates_are_found():
     last_only = lambda turns: "".join(f"[{r}]{t if k == len(turns) - 1 or r != 'assistant' else '...'}" for k, (r, t) in enumerate(turns))
     counted = lambda turns: f"{len(turns)} turns: " + "".join(f"[{r}]{t}" for r, t in turns)
     headed = lambda turns: "HEAD\n" + "".join(f"[{r}]{t}" for r, t in turns)
     turns = [("user", "hello"), ("assistant", "first"), ("user", "more"), ("assistant", "second"), ("user", "x"), ("assistant", "y")]
-    assert C.render(turns, last_only).rewrites and C.render(turns, counted).rewrites
+    assert C.render(turns, last_only).rewrites == 3 and C.render(turns, counted).rewrites == 1
+    got = C.render(turns, last_only)
+    assert [got.text[a:b] for a, b in got.inner] == ["hello", "", "more", "", "x", "y"]
     got = C.render(turns, headed)
     assert not got.rewrites and [got.text[a:b] for a, b in got.inner] == [t for _, t in turns]
 
 
+def test_any_template_is_read_back(spark):
+    box = lambda turns: "<s>" + "".join(f"### {r.title()}: {t}</s>" for r, t in turns)
+    rows = [(1, 0, "user", "user"), (1, 1, "assistant", "</s>### User: x" * 2000), (2, 0, "assistant", ""), (2, 1, "assistant", "é"), (2, 1, "assistant", "é")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    for r in C.formatted(df, template=box).collect():
+        own = [(role, x) for c, _, role, x in rows if c == r.conv_id]
+        said = [x for role, x in own if role == "assistant"]
+        assert (r.n_turns, r.formatted, r.rewrites) == (len(own), box(own), 0) and [r.formatted[s["start"] : s["end"]] for s in r.loss_spans] == said
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for role, x in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest()
+    assert C.formatted(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("texts", [True, False])
 def test_conversations(spark, texts):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\\"), (2, None, None, None), (None, 3, "assistant", "b"), (None, 1, "user", "a"), (1, 1, "assistant", "<|im_end|>\\"), (3, 0, "assistant", "")]
