@@ -60,8 +60,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.flagged(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "_hits.n_words", "_hits.n_hit", F.size("_hits.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_hits.items", ","), 256).alias("items_sha256"), (F.col("_hits.n_hit") > 0).alias("contaminated"),
+        "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"),
     )
 
 

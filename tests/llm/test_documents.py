@@ -219,7 +219,7 @@ def test_empty_tables(spark):
     assert [r.predicted for r in toxicity.toxic(some, toxicity.learned(some, labels)).collect()] == [0, 0]
     assert [r.lang_pred for r in language.identified(some, language.fit(some.withColumn("lang", F.lit(None).cast("string")))).collect()] == ["und", "und"]
     assert {r.doc_id: r.kept for r in quality_rules.judged(some, quality_rules.fit(some, labels)).collect()} == {1: False, 2: False}
-    assert [r["_hits"].n_hit for r in decontamination.flagged(some, bench).collect()] == [0, 0]
+    assert [r["hits"].n_hit for r in decontamination.flagged(some, bench).collect()] == [0, 0]
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -232,20 +232,38 @@ def benchmark_words(text):
 @pytest.mark.parametrize("most", [decontamination.MOST_TEST_WORDS, 20])
 def test_decontamination_against_brute_force(spark, most):
     rng = random.Random(2)
-    items = [(k, prose(rng, n, 30)) for k, n in enumerate([12, 10, 3, 1, 0, 40, 9, 2])] + [(50, None), (51, "Only-Once, here!"), (52, prose(rng, 15, 2))]
+    items = [(k, prose(rng, n, 30)) for k, n in enumerate([12, 10, 3, 1, 0, 40, 9, 2])] + [(50, None), (51, "Only-Once, here!"), (52, prose(rng, 15, 2)), (None, "no id here " + prose(rng, 12, 9)), (5, "another text of item 5")]
     docs = [(0, None), (1, ""), (2, items[0][1].upper() + " tail"), (3, "w1 w2 " + items[2][1] + " z"), (4, prose(rng, 3000, 30)), (5, "see only once here ok"), (6, items[5][1][5:]), (7, prose(rng, 5000, 2)), (7, "x")]
-    got = {(r.doc_id, r.text): r["_hits"] for r in decontamination.flagged(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), most_test_words=most).collect()}
+    docs += [(8, "a " + items[5][1] + " b"), (8, "a " + items[5][1] + " b"), (None, items[-2][1] + " ?")]
+    df = table(spark, docs).withColumn("hits", F.lit(1)).withColumn("n_words", F.lit("kept"))
+    rows = decontamination.flagged(df, spark.createDataFrame(items, "item_id long, text string").withColumn("b", F.lit(0)), most_test_words=most).collect()
+    assert len(rows) == len(docs) and all(r.n_words == "kept" for r in rows)
+    got = {(r.doc_id, r.text): r["hits"] for r in rows}
+    tests = [(None if k is None else str(k), benchmark_words(x)) for k, x in items]
     for i, t in docs:
-        w, hit, found = benchmark_words(t), set(), set()
-        for k, x in items:
-            b = benchmark_words(x)
+        w, hit, found, starts = benchmark_words(t), set(), set(), set()
+        for k, b in tests:
             n = min(10, len(b))
             grams = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} if n else set()
             for j in range(len(w) - n + 1 if n else 0):
                 if tuple(w[j : j + n]) in grams:
                     hit |= set(range(j, j + n))
-                    found.add(str(k))
-        assert (got[i, t].n_words, got[i, t].n_hit, list(got[i, t]["items"])) == (len(w), len(hit), sorted(found)), i
+                    starts.add(j)
+                    found.add(k)
+        own = got[i, t]
+        assert (own.n_words, own.n_hit, list(own["items"])) == (len(w), len(hit), sorted(found - {None})), i
+        texts = defaultdict(list)
+        for k, b in tests:
+            texts[k].append(b)
+        for m in own.matches:
+            assert any(w[m.start : m.start + m.length] == b[m.item_start : m.item_start + m.length] for b in texts[m["item"]])
+        if most > 20 and len(w) < 4000:  # matches in blocks are those of each block
+
+            def length(j):
+                return max((n for _, b in tests for s in range(len(b)) for n in [next((d for d in range(len(b) - s) if j + d >= len(w) or w[j + d] != b[s + d]), len(b) - s)] if n >= min(10, len(b))), default=0)
+
+            longest = {j: length(j) for j in starts}
+            assert {(m.start, m.length) for m in own.matches} == {(j, n) for j, n in longest.items() if longest.get(j - 1, 0) != n + 1}, i
 
 
 def brute_secrets(text):
