@@ -3,6 +3,11 @@
 Toxic documents go, near copies go but for one of each group, documents that hold passages of the
 benchmark go, secrets are blotted out, and what is left is mixed to target weights of
 its sources. Each stage gets what the one before has kept, written and read again.
+
+Nulls: a null text is neither toxic, nor a copy, nor contaminated, and stays null; a null id is hashed as an empty one
+in the mix; a null source is a source of its own. Of repeated rows and near copies one row stays. Ties go to
+the least id. Columns beside those of documents go along; none is lost, and n_chars, if there is one, follows the
+text where secrets are blotted out. Empty tables give an empty mix of the same columns (and those of the mix).
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from kinsift.plans import scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.7."""
     model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_toxicity", toxicity.scores(F.col("text"), model)).where("_toxicity.score < 0.7").drop("_toxicity")
+    name = scratch.unused(docs, "toxicity")
+    return docs.withColumn(name, toxicity.scores(F.col("text"), model)).where(F.col(name)["score"] < 0.7).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +33,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return decontamination.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_hits").where("_hits.n_hit = 0").drop("_hits")
+    name = scratch.unused(docs, "hits")
+    return decontamination.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=name).where(F.col(name)["n_hit"] == 0).drop(name)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; n_chars follows the text."""
-    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+    left = secret_scan.redacted(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(_own.pop(path), path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has (names don't depend on case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch: texts can be long, and a batch is held in memory whole. For
     applications (queries, the pipeline): it sets the session, which operators don't."""
