@@ -7,7 +7,8 @@ and sorted by it within partitions: a global shuffle that needs no sampling pass
 
 A null source is a source of its own; a null id is hashed as an empty one, so that its rows
 share their number of copies; repeated rows are repeated likewise. Sources without a
-weight get none. An empty table gives an empty mix.
+weight get none. An empty table gives an empty mix. Other columns stay as they are; if docs has a column of the
+name that one of the three new ones would get, the new one gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_SOURCES = 100_000
+from kinsift.plans import scratch
+
+#: What is broadcast: so many thresholds of sources (of 8 bytes each) at most.
+MOST_THRESHOLDS = 1 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -59,23 +63,25 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", temperature: float = 0.5, size: float | None = None, partitions: int | None = None) -> DataFrame:
     """docs, each row as often as drawn, with copy_no (from 0), n_copies and shuffle_key, dealt
     out and sorted by shuffle_key within partitions."""
-    table = rates(docs, weights, source_col, temperature, size)
-    clash = {"copy_no", "n_copies", "shuffle_key", "_source", "_cdf", "_parts", "_u"} & set(docs.columns)
-    docs = docs.drop(*clash)
+    copy_no, n_copies, shuffle_key = (scratch.unused(docs, c) for c in ("copy_no", "n_copies", "shuffle_key"))
     # a mean too large for exp() is drawn as a sum of equal parts
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 500)).cast("int")
-    table = table.withColumn("_parts", parts).select("_source", "_parts", thresholds(F.col("rate") / F.col("_parts")).alias("_cdf"))
-    n = table.limit(MOST_SOURCES + 1).count()
-    side = F.broadcast(table) if n <= MOST_SOURCES else table  # else a join that splits a hot source
-    drawn = docs.join(side, F.col(source_col).eqNullSafe(F.col("_source")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    one = lambda part: F.size(F.filter("_cdf", lambda c: c < uniform(F.lit(str(seed)), part, key)))
-    count = F.when(F.col("_parts") == 1, one(F.lit("0"))).otherwise(F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: one(k.cast("string"))), F.lit(0), lambda a, b: a + b))
-    drawn = drawn.withColumn("n_copies", count).where("n_copies > 0").drop("_source", "_parts", "_cdf")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    dealt = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no"))
+    table = rates(docs, weights, source_col, temperature, size).withColumn("parts", parts)
+    table = table.select(F.struct("_source", "parts", thresholds(F.col("rate") / F.col("parts")).alias("cdf")).alias("of"))
+    held = table.limit(MOST_THRESHOLDS + 1).agg(F.coalesce(F.sum(F.size("of.cdf")), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(table) if held <= MOST_THRESHOLDS else table  # else a join that splits a hot source
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    drawn = rows.join(side, F.col(f"row.`{source_col}`").eqNullSafe(F.col("of._source")))
+    key = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
+    one = lambda part: F.size(F.filter("of.cdf", lambda c: c < uniform(F.lit(str(seed)), part, key)))
+    n = F.col("of.parts")
+    count = F.when(n == 1, one(F.lit("0"))).otherwise(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda k: one(k.cast("string"))), F.lit(0), lambda a, b: a + b))
+    drawn = drawn.select("row", count.alias("n"), key.alias("key")).where("n > 0")
+    copies = drawn.select("row", "n", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    dealt = copies.withColumn("at", F.xxhash64(F.lit(seed), "key", "k"))
     to = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(to, "shuffle_key").sortWithinPartitions("shuffle_key")
+    out = dealt.repartition(to, "at").sortWithinPartitions("at")
+    return out.select("row.*", F.col("k").alias(copy_no), F.col("n").alias(n_copies), F.col("at").alias(shuffle_key))
 
 
 def poisson(u: float, rate: float) -> int:
