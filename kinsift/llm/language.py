@@ -6,11 +6,14 @@ maximisation estimates their proportions from its words, languages are taken out
 while the penalised likelihood (BIC) gains by it, and the language with the largest share is
 predicted. Its share is the score.
 
-The models are tables of n-gram hashes with a log probability per language, learned from a
-bounded sample of texts per language.
+The models are tables of n-gram hashes with a log probability per language, learned from a sample of about
+`fit_rows` texts per language, chosen by a hash of the id; all n-grams of the sample that occur `least` times
+or more in a language count, so that a model's size is bounded by the sample's, language by language.
 
 Null texts and texts without a letter are `und` with score 0; repeated rows are judged each by
-itself; without anything learned every text is `und`.
+itself; without anything learned every text is `und`. Rows without an id, text or language are not learned from; a row
+without an id is held out. Ties go to the language that sorts first. Empty tables give empty results; long texts
+are read whole.
 """
 
 from __future__ import annotations
@@ -19,17 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from kinsift.plans import scratch
-
 from . import arrays as A
 
 FIT_ROWS = 2_000  # texts per language
-FIT_CHARS = 4_000_000  # letters per language that are counted
-MOST_GRAMS = 200_000
+LEAST = 3  # times that an n-gram of two or more letters occurs in a language
 ORDERS = (1, 2, 3)
 
 
@@ -112,15 +112,18 @@ class Model:
     logp: np.ndarray  # for each: log2 odds against the mean language, per language
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from rows with a text and a language; at most fit_rows of each language (the
-    smallest hashes of the id: a bound of what is learned from). The number of languages is
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, least: int = LEAST) -> Model:
+    """Learns from rows with a text and a language; of a language with more than fit_rows those whose ids have hashes in the
+    part of all hashes that holds about as many (a bound of what is learned from). The number of languages is
     taken to be small (hundreds)."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
-    first = rows.select("i", "l", F.xxhash64(F.col("i")).alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= fit_rows)
-    ids = scratch.written(first.select(F.col("i").alias("i2"), F.col("l").alias("l2")).distinct(), "languages")
-    langs = sorted(r["l2"] for r in ids.select("l2").distinct().collect())
-    sample = rows.join(F.broadcast(ids), (F.col("i") == F.col("i2")) & (F.col("l") == F.col("l2")))  # at most fit_rows ids a language
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 1), np.float32))
+    share = rows.sparkSession.createDataFrame([(x, min(1.0, fit_rows / sizes[x])) for x in langs], "l2 string, share double")
+    place = F.pmod(F.xxhash64("i", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.join(F.broadcast(share), F.col("l") == F.col("l2")).where(place < F.col("share"))
 
     def count(batches):
         for b in batches:
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64))], ["l", "k", "g", "n"])
 
     counted = sample.select("l", "t").mapInArrow(count, "l string, k int, g bigint, n bigint").groupBy("l", "k", "g").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 3 OR k = 1").orderBy(F.desc("n"), "l", "k", "g").limit(MOST_GRAMS).toPandas()
+    top = counted.where((F.col("n") >= least) | (F.col("k") == 1)).toPandas()
     where = {x: j for j, x in enumerate(langs)}
     keys = np.unique(top["g"].to_numpy(np.int64).view(np.uint64))
     counts = np.zeros((len(keys), max(1, len(langs))))
@@ -168,21 +171,22 @@ def word_likelihoods(w: Words, model: Model) -> np.ndarray:
     return np.add.reduceat(total, starts, axis=0)
 
 
-def mixtures(logl: np.ndarray, row: np.ndarray, n_rows: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(logl: np.ndarray, row: np.ndarray, times: np.ndarray, n_rows: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of languages in each row and their penalised likelihood, by expectation
-    maximisation with removal of languages that don't pay for themselves."""
+    maximisation with removal of languages that don't pay for themselves. logl, row, times: of each distinct
+    word of a row its likelihoods, its row and how often it occurs there."""
     n_lang = logl.shape[1]
     like = np.exp2(np.clip(logl - logl.max(axis=1, keepdims=True), -40, 0)) + 1e-9
-    size = np.maximum(np.bincount(row, minlength=n_rows), 1)[:, None]
+    size = np.maximum(np.bincount(row, weights=times, minlength=n_rows), 1)[:, None]
     pi = np.full((n_rows, n_lang), 1 / n_lang)
 
     def step(pi: np.ndarray, r: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = pi[r] * x
-        z /= z.sum(axis=1, keepdims=True)
+        z *= (times / z.sum(axis=1))[:, None]
         return np.column_stack([np.bincount(r, weights=z[:, j], minlength=n_rows) for j in range(n_lang)]) / size
 
     def fit_of(pi: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=np.log((pi[row] * like).sum(axis=1) + 1e-300), minlength=n_rows)
+        return np.bincount(row, weights=times * np.log((pi[row] * like).sum(axis=1) + 1e-300), minlength=n_rows)
 
     for _ in range(rounds):
         pi = step(pi, row, like)
@@ -214,13 +218,14 @@ def languages(text: Column, model: Model) -> Column:
     @arrow_udf(schema)
     def found(column: pa.Array) -> pa.Array:
         preds, scores, sets = [], [], []
-        for a, b in A.slices(column, 1 << 20):
+        for a, b in A.slices(column, (1 << 23) // max(8, len(model.langs))):  # a word has a number for each language
             part = column.slice(a, b - a)
             w = words_of(part)
             n = np.diff(w.first)
-            row = np.repeat(np.arange(b - a), n)
-            if len(row) and model.langs:
-                pi, _ = mixtures(word_likelihoods(w, model)[w.of], row, b - a)
+            if len(w.of) and model.langs:
+                pair, times = np.unique(np.repeat(np.arange(b - a), n) * len(w.starts) + w.of, return_counts=True)
+                row, of = np.divmod(pair, len(w.starts))
+                pi, _ = mixtures(word_likelihoods(w, model)[of], row, times, b - a)
             else:
                 pi = np.zeros((b - a, max(1, len(model.langs))))
             best = pi.argmax(axis=1)
