@@ -2,12 +2,20 @@
 
 Texts are folded (lower case, accents kept, homoglyphs and digit substitutions to the letters
 they imitate), cut into words, and matched by an Aho-Corasick automaton that holds the terms
-of the lexicon. A term is a whole word or a stem that begins a word; a stem with an ending
-that clean texts use, and a word in a phrase that clean texts use, are exceptions: their
-weight is taken back. The score is a logistic function of the weight found, as it is and
-per hundred words, so that the length of a text is taken into account.
-
-The lexicon, the exceptions and the logistic function are learned from labelled texts.
+of the lexicon. A term is a whole word or a stem that begins words. Exceptions are phrases of two words, one of them a
+term, or words that begin with a stem: a term counts for nothing there. The score is a logistic
+function of the weight found, as it is and per hundred words, so that the length of a text is taken into account.
+
+The lexicon, the exceptions and the logistic function are learned from labelled texts. Equal texts
+count once, and a term is counted by the different neighbours that it has, so that a text that is copied with small changes
+lends its words no weight. What makes a term is a test of significance (for as many trials
+as there are terms), so that rare words count on any size of the sample if their texts are toxic enough; none is cut off
+by rank. Exceptions are found first, and terms are then judged by their other occurrences.
+
+Nulls: a null or empty text, or one without a letter, has the score of no hit; rows without an id, text or label are not learned from;
+a row without an id is held out. Rows that repeat an id with different labels are toxic if one is. Repeated rows are scored each by itself.
+Without labels of both kinds every text gets the same score, near the label that there is (0 without any). Empty tables
+give empty results. Very long texts are scored whole. Ties: of terms that begin at one word, the shortest counts.
 """
 
 from __future__ import annotations
@@ -31,17 +39,16 @@ HOMOGLYPHS = str.maketrans({
 })
 _OUTSIDE = r"[^\p{L}\p{M}]+"
 FIT_ROWS = 20_000
-MAX_TERMS = 4_000
 
 
 @dataclass
 class Model:
-    """Weights of whole words and of stems, exception phrases (two words), and the logistic
+    """Weights of whole words and of stems, exceptions (phrases of two words, and single words that begin with a stem), and the logistic
     function's offset and factors."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    exceptions: frozenset[tuple[str, str]] = frozenset()
+    exceptions: frozenset[tuple[str, ...]] = frozenset()
     factors: tuple[float, float, float] = (-3.0, 1.0, 0.0)
 
 
@@ -93,7 +100,7 @@ def weigh(text: str | None, model: Model, terms) -> tuple[float, float, int, int
             word = line[start + 1 if line[start] == " " else start : stop]
             before = line[line.rfind(" ", 0, max(start, 1)) + 1 : start] if start > 0 else ""
             after = line[stop + 1 : line.find(" ", stop + 1)]
-            if (before, word) in model.exceptions or (word, after) in model.exceptions:
+            if not model.exceptions.isdisjoint(((word,), (before, word), (word, after))):
                 continue
         last = start
         total += weight
@@ -123,63 +130,117 @@ def scores(text: Column | str, model: Model) -> Column:
     return scored(F.col(text) if isinstance(text, str) else text)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS, least: int = 4, purity: float = 0.9) -> Model:
-    """Learns a model from labelled rows (id, text, label 0/1; nulls in any of them are left out).
+#: A term occurs with so many different neighbours in toxic texts, an exception in clean ones, at least; how pure a
+#: term is; and the share of terms that may be there by chance.
+LEAST, PURITY, FALSE_SHARE = 4, 0.9, 0.5
 
-    At most fit_rows rows are used, those of the smallest hash of the id: a bound of what is
-    learned from, not of what is scored. Terms are words and stems (the first 4 to 9 letters) in
-    `least` toxic texts or more, of whose texts a part of `purity` or more is toxic; a stem is
-    kept only where it does better than the words that it begins. max_terms bounds the lexicon.
-    """
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND t IS NOT NULL AND y IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64(F.col("i")), "i").limit(fit_rows).select("t", "y")
 
-    @arrow_udf("array<string>")
-    def units(column: pa.Array) -> pa.Array:
-        """Each word (=word), stem (^stem) and pair of words (word word) of a text, once."""
-        out = []
-        for t in column:
-            seq = spaced(t.as_py()).split()
-            ws = set(seq)
-            out.append([*("=" + w for w in ws), *{f"^{w[:k]}" for w in ws for k in range(4, min(len(w), 10))}])
-        return pa.array(out, pa.list_(pa.string()))
+def chance(a: int, b: int, base: float) -> float:
+    """Chernoff's bound, as a logarithm, of the chance that `a` texts of a + b are toxic where a part `base` of all is."""
+    p = a / (a + b)
+    if p <= base:
+        return 0.0
+    return -(a + b) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
+
+
+def significant(counts: dict[str, tuple[int, int]], base: float, trials: int, false_share: float = FALSE_SHARE) -> set[str]:
+    """Terms of `trials` in all, so many that about `false_share` of them are there by chance (Benjamini and Hochberg)."""
+    ranked = sorted((chance(a, b, base), u) for u, (a, b) in counts.items())
+    most = max((k for k, (c, _) in enumerate(ranked, 1) if c <= math.log(false_share * k / max(1, trials))), default=0)
+    return {u for _, u in ranked[:most]}
+
+
+def _stems(word: str) -> list[str]:
+    return [word[:k] for k in range(4, min(len(word), 10))]
+
+
+def occurrences(seq: list[str], known=None) -> set[tuple[str, str, str, str]]:
+    """(term, word, word before, word after) of the words (=word) and stems (^stem) of a text, or of those that are known."""
+    out = set()
+    for i, w in enumerate(seq):
+        for u in ("=" + w, *("^" + x for x in _stems(w))):
+            if known is None or u in known:
+                out.add((u, w, seq[i - 1] if i else "", seq[i + 1] if i + 1 < len(seq) else ""))
+    return out
 
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST, purity: float = PURITY) -> Model:
+    """Learns a model from labelled rows (id, text, label 0/1; nulls in any of them are left out).
+
+    Terms are words and stems (the first 4 to 9 letters) with `least` different neighbours in toxic texts or more,
+    of whose texts, outside of exceptions, significantly many and a part of `purity` or more are toxic; a stem
+    begins two such words or more. The rows are taken to be bounded by the caller (`training_rows`): what is fetched are
+    terms with more toxic texts than chance gives and phrases with them, and three numbers a row."""
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND t IS NOT NULL AND y IS NOT NULL")
+    rows = rows.groupBy("t").agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model(factors=(4.0 if n1 else -4.0, 0.0, 0.0))
-    # the floor rises with the sample, so that rare words with chance purity stay out
-    floor = max(least, math.ceil(n1 / 100))
-    counted = rows.select(F.explode(units("t")).alias("u"), "y").groupBy("u").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    odds = F.log((F.col("a") + 0.25) / (n1 + 0.5)) - F.log((F.col("b") + 0.25) / (n0 + 0.5))
-    kept = counted.where((F.col("a") >= floor) & (F.col("a") >= purity * (F.col("a") + F.col("b")))).select("u", "a", "b", odds.alias("w")).orderBy(F.desc("a"), "u").limit(max_terms).collect()
-    words = {r["u"][1:]: r for r in kept if r["u"][0] == "="}
+    base = n1 / (n1 + n0)
+    schema = "array<struct<u:string,w:string,p:string,n:string>>"
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in "uwpn"]))
+
+    def found(known=None):
+        @arrow_udf(schema)
+        def units(column: pa.Array) -> pa.Array:
+            return pa.array([[dict(zip("uwpn", x, strict=True)) for x in sorted(occurrences(spaced(t.as_py()).split(), known))] for t in column], kind)
+
+        return rows.select(F.xxhash64("t").alias("d"), "y", F.explode(units("t")).alias("x")).select("d", "y", "x.*")
+
+    # terms that may be toxic if exceptions account for their clean texts; a text counts once
+    @arrow_udf("array<string>")
+    def names(column: pa.Array) -> pa.Array:
+        words = (set(spaced(t.as_py()).split()) for t in column)
+        return pa.array([[*("=" + w for w in ws), *{"^" + x for w in ws for x in _stems(w)}] for ws in words], pa.list_(pa.string()))
+
+    counted = rows.select(F.explode(names("t")).alias("u"), "y").groupBy("u").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    counted = scratch.written(counted, "terms")
+    trials = counted.count()
+    likely = {r["u"] for r in counted.where((F.col("a") >= least) & (F.col("a") >= 1.5 * base * (F.col("a") + F.col("b")))).collect()}
+    scratch.discard(counted)
+    if likely:
+        uses = scratch.written(found(likely), "uses")
+        sides = uses.select("d", "y", F.explode(F.array(F.struct(F.col("p").alias("one"), F.col("w").alias("two"), F.col("n").alias("beside")), F.struct(F.col("w").alias("one"), F.col("n").alias("two"), F.col("p").alias("beside")))).alias("x")).select("d", "y", "x.*").where("one <> '' AND two <> ''")
+        tally = lambda df, *keys: df.groupBy(*keys).agg(F.count_distinct(F.when(F.col("y") == 1, F.col("d"))).alias("a"), F.count_distinct(F.when(F.col("y") == 0, F.col("d"))).alias("b"), F.count_distinct(F.when(F.col("y") == 0, F.col("beside"))).alias("c"))
+        clean = f"c >= {least} AND a <= 0.1 * b"
+        phrases = {(r["one"], r["two"]) for r in tally(sides, "one", "two").where(clean).collect()}
+        endings = tally(uses.where("u LIKE '^%'").withColumn("beside", F.struct("p", "n")), "w").where(clean)
+        words_out = {(r["w"],) for r in endings.collect()}
+        exceptions = phrases | words_out
+
+        @arrow_udf("boolean")
+        def excepted(u: pa.Array, w: pa.Array, p: pa.Array, n: pa.Array) -> pa.Array:
+            out = []
+            for x, word, before, after in zip(u.to_pylist(), w.to_pylist(), p.to_pylist(), n.to_pylist(), strict=True):
+                out.append((x[0] == "^" and (word,) in words_out) or (before, word) in phrases or (word, after) in phrases)
+            return pa.array(out, pa.bool_())
+
+        left = uses.where(~excepted("u", "w", "p", "n")) if exceptions else uses
+        toxic = F.col("y") == 1
+        judged = left.groupBy("u").agg(
+            F.count_distinct(F.when(toxic, F.col("d"))).alias("a"), F.count_distinct(F.when(~toxic, F.col("d"))).alias("b"),
+            F.count_distinct(F.when(toxic, F.struct("p", "n"))).alias("c"), F.count_distinct(F.when(toxic, F.col("w"))).alias("words"),
+        ).where((F.col("c") >= least) & (F.col("a") >= purity * (F.col("a") + F.col("b")))).collect()
+        sure = significant({r["u"]: (r["a"], r["b"]) for r in judged}, base, trials)
+        kept = {r["u"]: r for r in judged if r["u"] in sure}
+        scratch.discard(uses)
+    else:
+        kept, exceptions = {}, set()
+    weight = lambda r: math.log((r["a"] + 0.25) / (n1 + 0.5)) - math.log((r["b"] + 0.25) / (n0 + 0.5))
+    words = {u[1:]: r for u, r in kept.items() if u[0] == "="}
     stems: dict[str, object] = {}
-    for r in sorted((r for r in kept if r["u"][0] == "^"), key=lambda r: len(r["u"])):
-        s = r["u"][1:]
-        if any(s.startswith(x) for x in stems):  # the shorter stem covers it
+    for s, r in sorted(((u[1:], r) for u, r in kept.items() if u[0] == "^"), key=lambda x: (len(x[0]), x[0])):
+        if any(s.startswith(x) for x in stems) or r["words"] < 2:  # a shorter stem covers it; or it is a word
             continue
-        within = max((x["a"] for w, x in words.items() if w.startswith(s)), default=0)
-        if r["a"] > 1.15 * within:
+        if r["a"] > 1.15 * max((x["a"] for w, x in words.items() if w.startswith(s)), default=0):
             stems[s] = r
     words = {w: r for w, r in words.items() if not any(w.startswith(s) for s in stems)}
-    model = Model({w: float(r["w"]) for w, r in words.items()}, {s: float(r["w"]) for s, r in stems.items()})
+    model = Model({w: weight(r) for w, r in words.items()}, {s: weight(r) for s, r in stems.items()})
+    used = lambda x: any(w in model.words or any(w.startswith(s) for s in model.stems) for w in x)
+    model.exceptions = frozenset(x for x in exceptions if used(x))
 
-    # phrases in which clean texts use a term
-    @arrow_udf("array<string>")
-    def around(column: pa.Array) -> pa.Array:
-        """Pairs of neighbouring words one of which is a term."""
-        out = []
-        for t in column:
-            seq = spaced(t.as_py()).split()
-            hit = [w in model.words or any(w[:k] in model.stems for k in range(4, len(w) + 1)) for w in seq]
-            out.append(sorted({f"{seq[i]} {seq[i + 1]}" for i in range(len(seq) - 1) if hit[i] or hit[i + 1]}))
-        return pa.array(out, pa.list_(pa.string()))
-
-    pairs = rows.select(F.explode(around("t")).alias("u"), "y").groupBy("u").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    model.exceptions = frozenset(tuple(r["u"].split(" ")) for r in pairs.where(f"b >= {max(3, least)} AND a <= 0.1 * b").orderBy(F.desc("b"), "u").limit(max_terms).collect())
-
-    # the logistic function, from the (at most fit_rows) weights of the rows
+    # the logistic function, from the weights of the rows
     @arrow_udf("total double, per double")
     def weights(column: pa.Array) -> pa.Array:
         terms = automaton(model)
@@ -215,7 +276,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
 def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """fit() on training_rows(), which are read once and kept as a small table meanwhile."""
-    return fit(scratch.written(training_rows(docs, labels, fit_rows=fit_rows), "toxic"), fit_rows=fit_rows)
+    rows = scratch.written(training_rows(docs, labels, fit_rows=fit_rows), "toxic")
+    model = fit(rows)
+    scratch.discard(rows)
+    return model
 
 
 def toxic(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

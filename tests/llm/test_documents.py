@@ -391,6 +391,17 @@ def test_mixture_follows_rates(spark):
     assert abs(len(big) - 6000) < 400
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(k, f"t{k}", "s", "mine", 1.5, "key", "u") for k in range(50)] + [(None, None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy_no string, Shuffle_Key double, key string, `of.x` string")
+    got = mixing.mixed(docs, size=200.0)
+    assert got.columns == [*docs.columns, "copy_no_", "n_copies", "shuffle_key_"]
+    out = got.collect()
+    assert all(r["copy_no"] == "mine" and r["Shuffle_Key"] == 1.5 and r["of.x"] == "u" for r in out if r.doc_id is not None)
+    n = Counter(r.doc_id for r in out)
+    assert all(n[r.doc_id] == r.n_copies * (2 if r.doc_id is None else 1) for r in out) and mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_languages_and_toxicity_learn(spark):
     rng = random.Random(6)
     en, de = ["the", "and", "thing", "other", "with", "house"], ["der", "und", "ung", "schön", "nicht", "haus"]
@@ -403,3 +414,125 @@ def test_languages_and_toxicity_learn(spark):
     tox = {r.doc_id: r for r in toxicity.toxic(docs, toxicity.learned(docs, labels)).collect()}
     assert all(tox[i].predicted == int(i % 5 == 0) for i, _, _ in rows)
     assert tox[902].predicted == 1 and tox[900].predicted == 0  # a digit in place of a letter
+
+
+def brute_score(text, model):
+    """Every word held against every term, without an automaton."""
+    w = [x for x in re.split(r"[^\w]|[\d_]", toxicity.folded(text or "")) if x]
+    total, hits = 0.0, 0
+    for i, x in enumerate(w):
+        stem = next((s for s in sorted(model.stems, key=len) if x.startswith(s)), None)
+        weight = model.stems[stem] if stem else model.words.get(x)
+        around = {(x,), (w[i - 1] if i else "", x), (x, w[i + 1] if i + 1 < len(w) else "")}
+        if weight is not None and not around & model.exceptions:
+            total, hits = total + weight, hits + 1
+    a, b, c = model.factors
+    z = a + b * np.log1p(max(0.0, total)) + c * np.log1p(max(0.0, 100 * total / len(w) if w else 0.0))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), hits
+
+
+def test_toxicity_learns_terms_stems_and_exceptions(spark):
+    rng = random.Random(3)
+    letters = lambda n: prose(rng, n).translate(str.maketrans("0123456789", "abcdefghij"))
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = letters(30).split()
+        at = rng.randrange(len(words))
+        if toxic:
+            words[at:at] = [rng.choice(["vile", "smargle", "smargly", "smarglish", "shoot"])]
+        elif i % 6 == 1:
+            words[at:at] = rng.choice([["photo", "shoot"], ["smarglefield"], []])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    copied = "this very text has oddword and is copied again and again " + letters(20)
+    rows += [(1000 + i, copied + f" number{'abcdefghij'[i % 10]}") for i in range(30)]
+    labels += [(1000 + i, 1) for i in range(30)]
+    docs = table(spark, rows)
+    model = toxicity.learned(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "vile" in model.words and "shoot" in model.words and any("smarglish".startswith(x) for x in model.stems)
+    assert ("photo", "shoot") in model.exceptions and ("smarglefield",) in model.exceptions
+    assert "oddword" not in model.words  # one text, however often
+    more = [(5000, "V1LE"), (5001, "a photo shoot here"), (5002, "we sh00t"), (5003, "smarglefield smargling"), (5004, None), (5005, ""), (5006, "?! 12"), (5007, "vile " * 30000), (5007, "vile " * 30000)]
+    got = toxicity.toxic(table(spark, rows[:200] + more), model).collect()
+    texts = {i: t for i, t in rows + more}
+    assert len(got) == 209
+    for r in got:
+        score, hits = brute_score(texts[r.doc_id], model)
+        assert abs(r.score - score) < 1e-9 and r.n_hits == hits and r.predicted == int(score >= 0.7), (r.doc_id, texts[r.doc_id][:80])
+    by = {r.doc_id: r.n_hits for r in got}
+    assert [by[k] for k in range(5000, 5008)] == [1, 0, 1, 1, 0, 0, 0, 30000]
+
+
+def test_toxicity_and_language_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    from kinsift.llm import queries
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.op3_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    pos, neg = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert auc > 0.85 and sum(n >= 0.7 for n in neg) <= 0.02 * len(neg) and sum(p >= 0.7 for p in pos) >= 0.7 * len(pos)  # 30 toxic texts to learn from
+    langs = spark.read.parquet(f"{sf}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang", "text")
+    rows = queries.op6_language(spark, sf).where("held_out AND lang_pred <> 'und'").join(langs, "doc_id").where("length(text) > 100").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
+
+
+def brute_mixture(likelihoods, rounds=12):
+    """The same inference for one text, word by word."""
+    k = len(likelihoods[0])
+    like = [[2.0 ** max(-40.0, x - max(ws)) + 1e-9 for x in ws] for ws in likelihoods]
+    n = len(like)
+
+    def step(pi):
+        out = [0.0] * k
+        for ws in like:
+            z = [p * x for p, x in zip(pi, ws)]
+            out = [o + x / sum(z) / n for o, x in zip(out, z)]
+        return out
+
+    value = lambda pi: sum(np.log(sum(p * x for p, x in zip(pi, ws)) + 1e-300) for ws in like) - 0.5 * np.log(n + 1) * (sum(p > 0 for p in pi) - 1)
+    pi = [1 / k] * k
+    for _ in range(rounds):
+        pi = step(pi)
+    best = value(pi)
+    for _ in range(k - 1):
+        if sum(p > 0 for p in pi) < 2:
+            break
+        least = min((p, j) for j, p in enumerate(pi) if p > 0)[1]
+        trial = [0.0 if j == least else p for j, p in enumerate(pi)]
+        trial = [p / sum(trial) for p in trial]
+        for _ in range(2):
+            trial = [t if p > 0 else 0.0 for p, t in zip(trial, step(trial))]
+            trial = [p / sum(trial) for p in trial]
+        if value(trial) < best:
+            break
+        pi, best = trial, value(trial)
+    return pi
+
+
+def test_mixtures_against_brute_force():
+    rng = np.random.default_rng(4)
+    logl = rng.normal(0, 3, (40, 3))
+    rows = [list(rng.integers(0, 40, n)) for n in (1, 7, 30, 200)]
+    pairs = [(r, w, c) for r, ws in enumerate(rows) for w, c in Counter(ws).items()]
+    row, of, times = (np.array(x) for x in zip(*pairs))
+    pi, _ = language.mixtures(logl[of], row, times, len(rows))
+    for r, ws in enumerate(rows):
+        assert np.allclose(pi[r], brute_mixture([logl[w].tolist() for w in ws]), atol=1e-9)
+
+
+def test_languages_of_mixed_repeated_and_long_texts(spark):
+    rng = random.Random(6)
+    own = {"en": ["the", "and", "thing", "other", "with", "house"], "de": ["der", "und", "ung", "schön", "nicht", "haus"], "fr": ["les", "été", "avec", "maison", "nous"]}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(x, 30), x) for i in range(60) for x in own], "doc_id long, text string, lang string")
+    model = language.fit(docs, fit_rows=40)
+    both = say("en", 60) + " " + say("de", 40)
+    rows = [(1, both), (1, both), (2, say("fr", 60000)), (3, say("de", 1).upper()), (None, say("en", 20)), (4, None), (5, "123")]
+    got = language.identified(table(spark, rows), model).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert len(by[1]) == 2 and by[1][0] == by[1][1] and {x["lang"] for x in by[1][0].langs} == {"en", "de"} and abs(by[1][0].score - 0.6) < 0.05
+    assert [by[k][0].lang_pred for k in (2, 3, 4, 5, None)] == ["fr", "de", "und", "und", "en"] and by[None][0].held_out
