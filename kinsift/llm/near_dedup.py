@@ -8,23 +8,25 @@ keeps the time of the earliest point dealt to it; two texts agree in a register
 probability equal to their weighted Jaccard similarity. Points are made in order of time, and a
 process stops when it is later than all registers, which is soon.
 
-Bands of registers give candidates. Equal texts count once. In each bucket all texts are
+Bands of registers give candidates. Equal texts (by a 128-bit digest of their words) count once. In each bucket all texts are
 first held against one leader (the one with most copies) only; verified links form components.
-Where a bucket still spans several components, its texts outside the leader's component
-are held against all of the bucket, in blocks (`rest_links`), from which only links that join components come out. So no
-pair of a bucket is left undecided, and a large group of near copies costs a row per text, not all
-pairs. Candidates are verified by multiset overlap of the shingles of whole texts.
+Where a bucket still spans several components, its texts outside the leader's component are held against each other and
+against those of the component that may be near enough, in blocks (`rest_links`), from which only links that join
+components come out. One minus the similarity is a metric, so that a text at distance d from the leader can have no
+link to one nearer to it than d - (1 - threshold): a large group of near copies, most of which are close to its leader,
+costs a row per text. No pair of a bucket is left undecided. Candidates are verified by multiset overlap of the shingles of whole texts.
 
 Two texts of similarity s share one of `bands` buckets with probability 1-(1-s^rows)^bands: for 25
 bands of 5 rows 0.99995 at 0.8 and more above.
 
 Texts are compared by words between white space, A-Z lower-cased. A text of one to four words is
 one shingle. Null texts and texts without a word, and rows with a null id, are classes of
-their own. Repeated rows are in one class. An empty table gives an empty result.
+their own. Repeated rows are in one class; ties go to the least id. Other columns stay as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,17 +45,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of the distinct shingles of each row, sorted by row and hash; the number
-    of words and two hashes of all words of each row."""
+def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of the distinct shingles of each row, sorted by row and hash; and the number
+    of words of each row."""
     data, offsets = A.flat(column)
     data = LOWER[data]
     starts, ends, first = A.words(data, offsets)
     words = A.word_hashes(data, starts, ends)
     n = np.diff(first)
     sums = A.prefix(words)
-    whole = A.spans(sums, first[:-1], first[1:])
-    second = A.spans(A.prefix(A.mix(words + _GOLD)), first[:-1], first[1:])
     take = np.maximum(n - k + 1, np.minimum(n, 1))
     row = np.repeat(np.arange(len(n)), take)
     at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + first[:-1][row]
@@ -61,7 +61,25 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))) if len(row) else np.zeros(0, np.int64)
-    return row[new], h[new], np.diff(np.concatenate((new, [len(row)]))), n, whole, second
+    return row[new], h[new], np.diff(np.concatenate((new, [len(row)]))), n
+
+
+def digests(column: pa.Array) -> list[bytes]:
+    """A 128-bit digest of the words of each row, joined by one space."""
+    data, offsets = A.flat(column)
+    inside = A.SPACED[data]
+    gap = ~inside
+    gap[1:] &= inside[:-1]  # the first blank behind a word stands for all
+    gap[offsets[:-1][offsets[:-1] < len(data)]] &= inside[offsets[:-1][offsets[:-1] < len(data)]]
+    keep = inside | gap
+    at = np.concatenate(([0], np.cumsum(keep)))[offsets].tolist()
+    left = np.where(inside, LOWER[data], 32).astype(np.uint8)[keep].tobytes()
+    return [hashlib.blake2b(left[a:b].rstrip(b" "), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
+
+
+def node(id_col: str, text_col: str):
+    """A row: its id and a hash of its text, so that rows that share an id are told apart."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")).alias("node")
 
 
 def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, n_rows: int, m: int) -> np.ndarray:
@@ -112,18 +130,16 @@ def overlap(a: tuple, b: tuple, n_rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node (id and a hash of the text), k1 and k2 (hashes of all words; null where
-    nothing can be compared) and keys (of bands)."""
+    """node, k (a digest of all words; null where nothing can be compared) and keys (of bands)."""
     m = bands * rows
-    src = docs.select(F.struct(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th")).alias("node"), F.col(text_col).alias("text"))
-    node = src.schema["node"].dataType.simpleString()
+    src = docs.select(node(id_col, text_col), F.col(text_col).alias("text"))
+    kind = src.schema["node"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "k1", "k2", "keys"]
         for b in batches:
             for lo, hi in A.slices(b.column("text")):
                 part = b.slice(lo, hi - lo)
-                row, h, count, n, k1, k2 = shingles(part.column("text"))
+                row, h, count, n = shingles(part.column("text"))
                 size = hi - lo
                 reg = signatures(row, h, count, size, m)
                 bits = A.mix(reg.view(np.uint64)).reshape(size, bands, rows)
@@ -132,17 +148,16 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                     key = A.mix(key * _GOLD + bits[:, :, j])
                 key = A.mix(key + np.arange(bands, dtype=np.uint64) * _GOLD)
                 void = (n == 0) | np.asarray(part.column("node").field("id").is_null())
-                flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(k1.view(np.int64), mask=void), pa.array(k2.view(np.int64), mask=void), flat(key.view(np.int64), pa.int64())], names)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(digests(part.column("text")), pa.binary(), mask=void), keys], ["node", "k", "keys"])
 
-    return src.mapInArrow(emit, f"node {node}, k1 bigint, k2 bigint, keys array<bigint>")
+    return src.mapInArrow(emit, f"node {kind}, k binary, keys array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts overlap by threshold or more."""
-    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th")).alias("node"), F.col(text_col).alias("text"))
+def scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with the overlap s of their texts (node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    node = both.schema["a"].dataType.simpleString()
+    kind = both.schema["a"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +167,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[done:]), 2 * A.SLICE_BYTES, "right")))
                 part = batch.slice(done, n)
                 s = overlap(shingles(part.column("ta")), shingles(part.column("tb")), part.num_rows)
-                keep = pa.array(s >= threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], ["a", "b", "s"])
                 done += n
 
-    return both.mapInArrow(emit, f"a {node}, b {node}")
+    return both.mapInArrow(emit, f"a {kind}, b {kind}, s double")
 
 
 def linked(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +179,7 @@ def linked(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 
     Shingles become columns, the k-th copy of one a column of its own; those of a single row say nothing
     and are left out; a matrix product over slices of columns counts what rows share."""
-    row, h, count, *_ = shingles(group.column("text").combine_chunks())
+    row, h, count, _ = shingles(group.column("text").combine_chunks())
     n = group.num_rows
     size = np.bincount(row, weights=count, minlength=n)
     rep = np.repeat(np.arange(len(row)), count)
@@ -210,24 +224,26 @@ def linked(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 BLOCK = 512
 
 
-def rest_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """a, b: links of texts outside their bucket's main component.
+def rest_links(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links of texts outside their leader's component.
 
-    rest: main, rep, c. Buckets of one main component are one group. Its texts are dealt out in blocks,
-    and those outside the main component are held against every block: a stated set against all, in
+    rest: leader, main (its component), rep, c, d (distance from the leader). The buckets of one leader are one group: its
+    texts outside the main component, and those inside that are not too near to the leader for a link to them.
+    Both are dealt out in blocks, and those outside are held against every block: a stated set against all, in
     blocks of a fixed number of rows, so that no task holds a group."""
-    sizes = rest.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"), F.ceil(F.count_if(F.col("c") != F.col("main")) / BLOCK).cast("int").alias("nx"))
-    r = rest.join(scratch.written(sizes.select(F.col("main").alias("w"), "ny", "nx"), "sizes"), F.col("main") == F.col("w")).drop("w")
-    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th")).alias("node"), F.col(text_col).alias("text"))
-    r = r.join(texts, F.col("rep") == F.col("node")).drop("node").dropDuplicates(["main", "rep"])
+    outside = F.col("c") != F.col("main")
+    least = rest.where(outside).groupBy("leader").agg((F.min("d") - (1 - threshold) - 1e-9).alias("near")).select(F.col("leader").alias("l"), "near")
+    r = scratch.written(rest.join(least, F.col("leader") == F.col("l")).where(outside | (F.col("d") >= F.col("near"))).select("leader", "main", "rep", "c"), "near")
+    sizes = r.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"), F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("nx"))
+    r = r.join(scratch.written(sizes.select(F.col("leader").alias("w"), "ny", "nx"), "sizes"), F.col("leader") == F.col("w")).drop("w")
+    r = r.join(texts, F.col("rep") == F.col("node")).drop("node")
     h = F.xxhash64("rep")
     span = lambda n: F.sequence(F.lit(0), n - 1)
-    outside = F.col("c") != F.col("main")
-    as_x = r.where(outside).select("main", F.pmod(h, F.col("nx")).cast("int").alias("bx"), F.explode(span(F.col("ny"))).alias("by"), "rep", "c", F.lit(True).alias("rest"), "text")
-    as_y = r.select("main", F.explode(span(F.col("nx"))).alias("bx"), F.pmod(h, F.col("ny")).cast("int").alias("by"), "rep", "c", F.lit(False).alias("rest"), "text")
-    dealt = as_x.unionByName(as_y).withColumn("g", F.concat_ws(":", F.col("main.id").cast("string"), F.col("main.th").cast("string"), "bx", "by")).select("g", "rep", "c", "rest", "text")
+    as_x = r.where(outside).select("leader", F.pmod(h, F.col("nx")).cast("int").alias("bx"), F.explode(span(F.col("ny"))).alias("by"), "rep", "c", F.lit(True).alias("rest"), "text")
+    as_y = r.select("leader", F.explode(span(F.col("nx"))).alias("bx"), F.pmod(h, F.col("ny")).cast("int").alias("by"), "rep", "c", F.lit(False).alias("rest"), "text")
+    dealt = as_x.unionByName(as_y).withColumn("g", F.concat_ws(":", F.col("leader.id").cast("string"), F.col("leader.th").cast("string"), "bx", "by")).select("g", "rep", "c", "rest", "text")
     own = dealt.repartition("g").sortWithinPartitions("g")
-    node = own.schema["rep"].dataType.simpleString()
+    kind = own.schema["rep"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -253,7 +269,7 @@ def rest_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, thr
         if held:
             yield close()
 
-    return own.mapInArrow(emit, f"a {node}, b {node}")
+    return own.mapInArrow(emit, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -266,7 +282,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with one row of each class (that of the least id; of repeated rows one)."""
     out = classes(docs, id_col, text_col, threshold, bands, rows)
     gone = out.where("c IS NOT NULL AND c <> node").select(F.col("node.id").alias("__ks_id"), F.col("node.th").alias("__ks_hash")).distinct()
-    own = docs.withColumn("__ks_own", F.hash(F.col(text_col)))
+    own = docs.withColumn("__ks_own", F.xxhash64(F.col(text_col)))
     left = own.join(gone, F.col(id_col).eqNullSafe(F.col("__ks_id")) & (F.col("__ks_own") == F.col("__ks_hash")), "left_anti")
     twice = out.where("c IS NOT NULL AND c = node").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node.id").alias("__ks_id"), F.col("node.th").alias("__ks_hash"))
     twice = scratch.written(twice, "repeats")
@@ -276,29 +292,43 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return left.drop("__ks_own")
 
 
+def texts_of(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, text: one row of each node. Only where rows are repeated are texts grouped for it."""
+    texts = docs.select(node(id_col, text_col), F.col(text_col).alias("text"))
+    if sig.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # aggregated before the shuffle
+    return texts
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """node and c (the least node of its class, null where nothing can be compared) of each row."""
     docs = docs.select(F.col(id_col), F.col(text_col))
     sig = scratch.written(signed(docs, id_col, text_col, bands, rows), "signatures")
-    known = sig.where("k1 IS NOT NULL")
-    texts = known.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    texts = scratch.written(texts, "texts")
-    placed = texts.select("rep", "copies", F.explode("keys").alias("key"))
-    buckets = placed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "rep")).alias("first")).where("c > 1")
-    placed = scratch.written(placed.join(buckets.select(F.col("key").alias("k"), F.col("first.rep").alias("leader")), F.col("key") == F.col("k")).select("key", "rep", "leader"), "buckets")
-    first = verified(placed.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), docs, id_col, text_col, threshold)
-    edges = scratch.written(first, "links")
-    class_of = components(edges)
+    known = sig.where("k IS NOT NULL")
+    reps = scratch.written(known.groupBy("k").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "texts")
+    each = reps.select("rep", "copies", F.explode("keys").alias("key"))
+    buckets = each.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "rep")).alias("first")).where("c > 1")
+    placed = scratch.written(each.join(buckets.select(F.col("key").alias("k2"), F.col("first.rep").alias("leader")), F.col("key") == F.col("k2")).select("key", "rep", "leader"), "buckets")
+    # texts that are in a bucket with others, read and dealt out once
+    used = placed.select(F.col("rep").alias("u")).distinct()
+    texts = scratch.written(texts_of(docs, sig, id_col, text_col).join(used, F.col("node") == F.col("u"), "left_semi"), "compared")
+    pairs = placed.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    first = scratch.written(scored(pairs, texts), "scored")
+    class_of = components(first.where(F.col("s") >= threshold - 1e-12))
     # buckets that span several components
     at = placed.join(class_of.select(F.col("node").alias("w"), "least"), F.col("rep") == F.col("w"), "left").select("key", "rep", "leader", F.coalesce("least", "rep").alias("c"))
     at = scratch.written(at, "placed")
-    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("c"))).alias("main")).where("lo <> hi").select(F.col("key").alias("k"), "main")
-    rest = scratch.written(at.join(mixed, F.col("key") == F.col("k")).select("main", "rep", "c").distinct(), "rest")
+    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("c"))).alias("main")).where("lo <> hi").select(F.col("key").alias("k2"), "main")
+    rest = at.join(mixed, F.col("key") == F.col("k2")).select("leader", "main", "rep", "c").distinct()
+    far = first.select("a", "b", (1 - F.col("s")).alias("d"))
+    rest = rest.join(far, (F.col("rep") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("leader", "main", "rep", "c", F.coalesce("d", F.lit(0.0)).alias("d"))
+    rest = scratch.written(rest, "rest")
     if rest.limit(1).count():
-        added = scratch.written(rest_links(rest, docs, id_col, text_col, threshold), "more")
+        added = scratch.written(rest_links(rest, texts, threshold), "more")
         if added.limit(1).count():
             # known components are stars already
             stars = class_of.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
             class_of = components(stars.unionByName(added))
-    reps = texts.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "rep").join(class_of, F.col("rep") == F.col("node"), "left").select("j1", "j2", F.coalesce("least", "rep").alias("c"))
-    return sig.select("node", "k1", "k2").join(reps, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left").select("node", "c")
+    scratch.discard(texts, placed, at, rest, first)
+    of = reps.select(F.col("k").alias("j"), "rep").join(class_of, F.col("rep") == F.col("node"), "left").select("j", F.coalesce("least", "rep").alias("c"))
+    return sig.select("node", "k").join(of, F.col("k") == F.col("j"), "left").select("node", "c")

@@ -197,13 +197,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert "score" in kept[0].asDict()
 
 
+def test_repeated_rows_and_equal_words(spark):
+    rows = [*corpus(), *[corpus()[4]] * 40, (400, corpus()[4][1].upper().replace(" ", " \n ")), (None, None), (None, corpus()[4][1])]
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+    kept = Counter(r.doc_id for r in near_dedup.deduplicated(table(spark, rows)).collect())
+    assert kept[4] == 1 and kept[5] == kept[400] == 0 and kept[None] == 2
+
+
+def test_digests_tell_words_apart():
+    import pyarrow as pa
+
+    # Thue and Morse's sequence and its complement have equal sums of any code modulo 2**64
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    texts = [" ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits), " A  b\n", "a b", "ab", "a", "b", None, "", " ", "a b c", "\ta\r\n b"]
+    d = near_dedup.digests(pa.array(texts))
+    assert d[0] != d[1] and d[2] == d[3] == d[11] and len(set(d[3:7] + d[10:11])) == 5 and d[7] == d[8] == d[9]
+
+
 def test_registers_are_unbiased():
     import pyarrow as pa
 
     a, b = "a b c d e f g h i j k l " * 3 + "x y z", "a b c d e f g h i j k l " * 2 + "q r s t"
     x, y = shingle_bag(a), shingle_bag(b)
     want = (x & y).total() / (x | y).total()
-    row, h, c, *_ = near_dedup.shingles(pa.array([a, b]))
+    row, h, c, _ = near_dedup.shingles(pa.array([a, b]))
     reg = near_dedup.signatures(row, h, c, 2, 4000)
     assert abs((reg[0] == reg[1]).mean() - want) < 0.04
     assert abs(near_dedup.overlap(tuple(z[row == 0] for z in (row, h, c)), tuple(z[row == 1] - (k == 0) for k, z in enumerate((row, h, c))), 1)[0] - want) < 1e-9
