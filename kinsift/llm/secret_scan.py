@@ -9,9 +9,13 @@ through a worklist until no codec yields a layer not seen before (digests of see
 detect cycles). A layer keeps its pieces as ranges of its parent, so that a match in any
 depth is mapped back to code points of the text itself.
 
-Nulls count as empty texts and have no matches; repeated rows are scanned each by itself;
-other columns are left alone. `max_layer_chars` bounds what one compressed piece may unfold
-to (a decompression bomb is left packed); nothing else is bounded. A piece need not be text
+Packed data may have several members, may be cut short (what comes out is read) and may hold packed
+data, until nothing is packed or a digest shows a cycle. What unfolds to more than `max_layer_chars` is read as
+a stream, in windows that overlap, each of which is a layer of its own: memory is bounded, and no match is lost that is shorter
+than the overlap. Only what is packed over and over in such streams, more than NESTED times, is left. Layers are made one at a time, depth first.
+
+Nulls count as empty texts and have no matches; repeated rows are scanned each by itself; very long texts
+are scanned whole; other columns are left alone; an empty table gives an empty one. A piece need not be text
 throughout: bytes that are none are replaced or left out, and what lies between them is scanned.
 """
 
@@ -20,11 +24,12 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections import deque
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,42 +82,167 @@ def legible(data: bytes) -> str | None:
     return data.decode("utf-8", "replace") if ASCII.search(data) else readable(data)
 
 
-def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
-    """What data holds in packed form (gzip, zlib, bzip2, xz or zstandard), and how many bytes of it."""
-    try:
-        if data.startswith(b"\x1f\x8b"):
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78":
-            d = zlib.decompressobj()
-        elif data.startswith(b"BZh"):
-            d = bz2.BZ2Decompressor()
-        elif data.startswith(b"\xfd7zXZ"):
-            d = lzma.LZMADecompressor()
-        elif data.startswith(b"\x28\xb5\x2f\xfd"):
-            import zstandard
+OVERLAP = 1 << 16
+NESTED = 64
+
+
+def _decoder(data: bytes):
+    """A decompressor for one member: decompress(data, max_length), eof, unused_data."""
+    if data.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78":
+        return zlib.decompressobj()
+    if data.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if data.startswith(b"\xfd7zXZ"):
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _zstd(data: bytes, most: int) -> tuple[bytes, int] | None:
+    import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                if len(out := r.read(most + 1)) > most:
-                    return None
+    out = bytearray()
+    try:
+        reader = zstandard.ZstdDecompressor().stream_reader(data)
+        while len(out) <= most and (more := reader.read(min(1 << 20, most + 1 - len(out)))):
+            out += more
+    except zstandard.ZstdError:
+        pass
+    if not out:
+        return None
+    used = len(data)
+    if len(out) <= most:
+        try:
             d = zstandard.ZstdDecompressor().decompressobj()
             d.decompress(data)  # tells where the frame ends
-            return out, len(data) - len(d.unused_data)
-        else:
-            return None
+            used -= len(d.unused_data)
+        except zstandard.ZstdError:
+            pass
+    return bytes(out), used
+
+
+def inflate(data: bytes, most: int, members: bool = True) -> tuple[bytes, int] | None:
+    """What data holds in packed form (gzip, zlib, bzip2, xz or zstandard; all members or the first), and how many bytes of it. Of
+    a member that is damaged or cut short, what comes out before. More than `most` bytes out means that there are more."""
+    out, used = bytearray(), 0
+    while PACKED.match(rest := data[used:]) and len(out) <= most and (members or not used):
+        if rest.startswith(b"\x28\xb5\x2f\xfd"):
+            if (got := _zstd(rest, most - len(out))) is None:
+                break
+            out += got[0]
+            used += got[1]
+            continue
+        d, fed, before, whole = _decoder(rest), 0, len(out), False
+        try:
+            while not d.eof and len(out) <= most:
+                tail = getattr(d, "unconsumed_tail", b"")
+                part = tail or (rest[fed : fed + 65536] if getattr(d, "needs_input", True) else b"")
+                fed += 0 if tail else len(part)
+                more = d.decompress(part, min(1 << 20, most + 1 - len(out)))
+                if not more and not part:
+                    break
+                out += more
+            whole = d.eof
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            pass
+        if len(out) == before:
+            break
+        used = used + fed - len(d.unused_data) if whole else len(data)
+    return (bytes(out), used) if out else None
+
+
+def raw_inflate(data: bytes, most: int) -> bytes | None:
+    """What a whole deflate stream without a header holds; only a stream that ends with the data is taken for one."""
+    d = zlib.decompressobj(-15)
+    try:
         out = d.decompress(data, most + 1)
-        return (out, len(data) - len(d.unused_data)) if len(out) <= most else None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+    except zlib.error:
         return None
-    except Exception as e:  # zstandard's own error class, which is not imported at the top
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+    return out if out and (d.eof or len(out) > most) and not d.unused_data else None
+
+
+class _Unfolding(io.RawIOBase):
+    """A stream of what packed bytes hold, for those codecs whose own streams don't read on behind damage."""
+
+    def __init__(self, source, first: bytes):
+        self.source, self.d = source, zlib.decompressobj(-15) if first == b"raw" else _decoder(first)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.d.eof:
+            tail = getattr(self.d, "unconsumed_tail", b"")
+            part = tail or (self.source.read(65536) if getattr(self.d, "needs_input", True) else b"")
+            try:
+                more = self.d.decompress(part, len(into))
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+                return 0
+            if more:
+                into[: len(more)] = more
+                return len(more)
+            if not part:
+                return 0
+        first = self.d.unused_data + self.source.read(65536)
+        if not PACKED.match(first) or (d := _decoder(first)) is None:
+            return 0
+        self.d, self.source = d, io.BufferedReader(_Joined(first, self.source))
+        return self.readinto(into)
+
+
+class _Joined(io.RawIOBase):
+    def __init__(self, first: bytes, source):
+        self.first, self.source = first, source
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        part = self.first[: len(into)] or self.source.read(len(into))
+        self.first = self.first[len(part) :]
+        into[: len(part)] = part
+        return len(part)
+
+
+def windows(data: bytes, most: int, raw: bool = False):
+    """Texts of what data holds, unpacked as a stream, in windows of `most` bytes that overlap."""
+    stream = io.BufferedReader(io.BytesIO(data))
+    for depth in range(NESTED):
+        first = stream.peek(8)[:8]
+        if first.startswith(b"\x28\xb5\x2f\xfd"):
+            import zstandard
+
+            stream = io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True))
+        elif PACKED.match(first) or (raw and not depth):
+            stream = io.BufferedReader(_Unfolding(stream, first if PACKED.match(first) else b"raw"))
+        else:
+            break
+    held = b""
+    while True:
+        more = b""
+        try:
+            while len(more) < most and (part := stream.read(min(1 << 20, most - len(more)))):
+                more += part
+        except Exception as e:  # zstandard's own error class, which is not imported at the top
+            if type(e).__name__ != "ZstdError":
+                raise
+        if more and (text := legible(held + more)) is not None:
+            yield text
+        if len(more) < most:
+            return
+        held = more[-OVERLAP:]
 
 
-def unpacked(data: bytes, most: int) -> bytes:
-    for _ in range(64):  # packed data may hold packed data
-        if not PACKED.match(data) or (inner := inflate(data, most)) is None or inner[0] == data:
+def unpacked(data: bytes, most: int) -> bytes | None:
+    """What data holds when nothing is packed any more; None if that is more than `most` bytes."""
+    seen = set()
+    while PACKED.match(data) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        if (inner := inflate(data, most)) is None:
             break
+        if len(inner[0]) > most:
+            return None
         data = inner[0]
     return data
 
@@ -158,13 +288,32 @@ def decoded(chars: str) -> bytes:
 
 
 def stretches(data: bytes, most: int):
-    """(start, end, what it holds) of packed data and of text anywhere in data."""
+    """(start, end, what it holds) of packed data and of text anywhere in data. What is too long for one layer
+    is a function that gives its windows."""
     at = 0
+    if not PACKED.match(data) and (out := raw_inflate(data, most)) is not None:
+        if len(out) > most or (inner := unpacked(out, most)) is None:
+            yield 0, len(data), lambda: windows(data, most, raw=True)
+        elif ASCII.search(inner):
+            yield 0, len(data), legible(inner)
+    joined = 0
     while m := PACKED.search(data, at):
         at = m.end()
-        if (inner := inflate(data[m.start() :], most)) is not None and (held := legible(unpacked(inner[0], most))) is not None:
-            at = max(at, m.start() + inner[1])
-            yield m.start(), at, held
+        if (inner := inflate(data[m.start() :], most, members=False)) is None:
+            continue
+        end = max(at, m.start() + inner[1])
+        if len(inner[0]) > most or (whole := unpacked(inner[0], most)) is None:
+            yield m.start(), len(data), lambda start=m.start(): windows(data[start:], most)
+            continue
+        if (held := legible(whole)) is not None:
+            at = end
+            yield m.start(), end, held
+        if m.start() >= joined and PACKED.match(data, end) and (several := inflate(data[m.start() :], most)) is not None:
+            joined = max(end, m.start() + several[1])  # members one behind another hold one text
+            if len(several[0]) > most or (whole := unpacked(several[0], most)) is None:
+                yield m.start(), len(data), lambda start=m.start(): windows(data[start:], most)
+            elif (held := legible(whole)) is not None:
+                yield m.start(), joined, held
     for m in ASCII.finditer(data):
         yield m.start(), m.end(), m[0].decode("ascii")
 
@@ -198,11 +347,16 @@ def run_pieces(m: re.Match, most: int):
                 yield shift + start, ends(end), held
 
 
-def base64_layers(text: str, most: int) -> list[list[tuple[int, int, str]]]:
-    """Lists of pieces; a piece that overlaps another of its run is in a further list."""
+def base64_layers(text: str, most: int):
+    """Lists of pieces; a piece that overlaps another of its run is in a further list, and so is each window of what
+    is read as a stream."""
     layers: list[list[tuple[int, int, str]]] = []
+    streams = []
     for m in BASE64.finditer(text):
         for piece in run_pieces(m, most):
+            if callable(piece[2]):
+                streams.append(piece)
+                continue
             for own in layers:
                 at = bisect_left(own, piece)
                 if (at == 0 or own[at - 1][1] <= piece[0]) and (at == len(own) or piece[1] <= own[at][0]):
@@ -210,7 +364,10 @@ def base64_layers(text: str, most: int) -> list[list[tuple[int, int, str]]]:
                     break
             else:
                 layers.append([piece])
-    return layers
+    yield from layers
+    for start, end, texts in streams:
+        for held in texts():
+            yield [(start, end, held)]
 
 
 class Layer:
@@ -252,27 +409,35 @@ class Layer:
         return start, end
 
 
-def scan(text: str | None, max_layer_chars: int = 64 << 20) -> tuple[list, list, int]:
+def scan(text: str | None, max_layer_chars: int = 16 << 20) -> tuple[list, list, int]:
     """Base matches, all matches (both sorted by start, kind, end) and the number of layers."""
     text = text or ""
     base = sorted(matches(text), key=lambda x: (x[0], x[2], x[1]))
     every = set(base)
     if "%" not in text and "\\" not in text and not BASE64.search(text):
         return base, base, 1
-    seen, work, n = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, deque([Layer(text)]), 0
+    seen, n = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, 0
+
+    def inner(layer: Layer):
+        """The layers below, one at a time."""
+        for pieces in chain((url_pieces(layer.text, max_layer_chars), unicode_pieces(layer.text, max_layer_chars)), base64_layers(layer.text, max_layer_chars)):
+            found = layer.unwrap(pieces)
+            if found is not None:
+                digest = hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    yield found
+
+    work = [iter([Layer(text)])]
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         n += 1
         if layer.parent is not None:
             every |= {(*layer.back(s, e), k) for s, e, k in matches(layer.text)}
-        for pieces in (url_pieces(layer.text, max_layer_chars), unicode_pieces(layer.text, max_layer_chars), *base64_layers(layer.text, max_layer_chars)):
-            inner = layer.unwrap(pieces)
-            if inner is None:
-                continue
-            digest = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if digest not in seen:
-                seen.add(digest)
-                work.append(inner)
+        work.append(inner(layer))
     return base, sorted(every, key=lambda x: (x[0], x[2], x[1])), n
 
 
@@ -285,7 +450,7 @@ def _spans(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), items)
 
 
-def findings(text: Column | str, max_layer_chars: int = 64 << 20) -> Column:
+def findings(text: Column | str, max_layer_chars: int = 16 << 20) -> Column:
     """A struct of counts of the base kinds, base spans, all spans and the number of layers."""
 
     @arrow_udf(SCHEMA)

@@ -366,6 +366,57 @@ def test_secrets_in_layers_that_are_not_all_text():
     assert (len(accent) + 3, len(accent) + 3 + 3 * len(inner), 0) in secret_scan.scan(accent + url)[1]
 
 
+def test_secrets_in_raw_cut_joined_and_huge_data():
+    inner = b"some notes, then password = hunter2hunter2 and more"
+    found = lambda text, most=16 << 20: [x for x in secret_scan.scan(text, most)[1] if x[2] == 0]
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = deflate.compress(inner * 3) + deflate.flush()
+    cut = gzip.compress(bytes(range(97, 123)) * 9 + inner + random.Random(1).randbytes(400))[:-200]
+    packs = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+    for data in (raw, cut, *(pack(b"nothing here") + pack(inner) for pack in packs)):
+        held = base64.b64encode(data).decode()
+        assert found(f"before {held} after") and all(6 <= s and e <= 8 + len(held) for s, e, _ in found(f"before {held} after")), data[:4]
+    again = inner
+    for k in range(90):  # packed more often than anybody would
+        again = (packs[k % 2])(again)
+    assert found("x " + base64.b64encode(again).decode())
+    huge = b"0 " * 40000 + inner + b"1 " * 300000
+    for pack in packs:
+        for data in (pack(huge), pack(pack(huge)), pack(b"2 " * 9000) + pack(huge)):
+            for most in (70000, 1 << 21):
+                held = base64.b64encode(data).decode()
+                assert found(f"before {held} after", most), (pack, len(data), most)
+    loop = base64.b64encode(zlib.compress(b"")).decode()
+    assert secret_scan.scan(loop * 3)[1] == []
+
+
+def test_secrets_of_planted_layers_are_found():
+    """Recall on secrets below one to three random layers, glued to words and broken into lines or not."""
+    rng = random.Random(12)
+    url = lambda b: "".join(f"%{c:02X}" for c in b)
+    escapes = lambda b: "".join(f"\\u{ord(c):04x}" for c in b.decode("latin-1"))
+    plain = lambda b: base64.b64encode(b).decode()
+    safe = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    packed = lambda b: base64.b64encode(rng.choice([gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])(b)).decode()
+    wrapped = lambda b: "\n".join(re.findall(".{1,76}", packed(b)))
+    got = 0
+    for _ in range(400):
+        text = f"note {rng.randrange(10**6)}: api_key = {rng.getrandbits(80):x} " + prose(rng, rng.randrange(30))
+        for k in range(rng.randrange(1, 4)):
+            text = rng.choice([url, escapes, plain, safe, packed, wrapped])(text.encode())
+        before = prose(rng, 3) + rng.choice([" ", ": ", "/", '="'])
+        full = before + text + rng.choice([" ", '"', "\n", "."]) + prose(rng, 3)
+        got += any(k == 0 and len(before) - 8 <= s < e <= len(before) + len(text) + 8 for s, e, k in secret_scan.scan(full)[1])
+    assert got >= 396, got
+
+
+def test_secrets_repeated_rows_and_long_texts(spark):
+    long = "word " * 400000 + "token = abcdefgh " + "x" * 100000
+    rows = [(1, long), (1, long), (None, "secret: abcdefgh"), (2, "é" * 50 + " password=hunter2x")]
+    got = secret_scan.secrets(table(spark, rows)).collect()
+    assert Counter((r.doc_id, tuple((s["start"], s["end"]) for s in r.spans)) for r in got) == Counter({(1, ((2000000, 2000016),)): 2, (None, ((0, 16),)): 1, (2, ((51, 68),)): 1})
+
+
 def test_redaction(spark):
     rows = [(1, "a token = abcdefgh b " + "0" * 30 + " c"), (2, None), (3, "clean")]
     assert {r.doc_id: r.text for r in secret_scan.redacted(table(spark, rows)).collect()} == {1: "a [SECRET] b [SECRET] c", 2: None, 3: "clean"}
