@@ -47,6 +47,10 @@ def fraction_of_comparisons(comparisons: Column, n: Column) -> Column:
 def pair_metrics(pairs: DataFrame, truth: DataFrame, products: DataFrame) -> DataFrame:
     """One row: comparisons, found, total, n, and pq, pc, f1, foc."""
     counts = [pairs.agg(F.count("*").alias("comparisons")), found_pairs(pairs, truth).agg(F.count("*").alias("found")), truth.agg(F.count("*").alias("total")), products.agg(F.count_distinct("product_idx").alias("n"))]
+    return _metrics(counts)
+
+
+def _metrics(counts: list[DataFrame]) -> DataFrame:
     one = counts[0]
     for c in counts[1:]:
         one = one.join(F.broadcast(c))  # of one row each
@@ -54,6 +58,12 @@ def pair_metrics(pairs: DataFrame, truth: DataFrame, products: DataFrame) -> Dat
     return one.withColumn("f1", f1(F.col("pq"), F.col("pc"))).withColumn("foc", fraction_of_comparisons(F.col("comparisons"), F.col("n")))
 
 
+def cluster_metrics(pairs: DataFrame, candidates: DataFrame, truth: DataFrame, products: DataFrame) -> DataFrame:
+    """pair_metrics of clustered pairs; comparisons are all candidates, before pruning."""
+    counts = [candidates.agg(F.count("*").alias("comparisons")), found_pairs(pairs, truth).agg(F.count("*").alias("found")), truth.agg(F.count("*").alias("total")), products.agg(F.count_distinct("product_idx").alias("n"))]
+    return _metrics(counts)
+
+
 def bootstrap_samples(products: DataFrame, n_bootstraps: int = 5, seed: int = 559692) -> DataFrame:
     """bootstrap, split, local_pos, product_idx: as many draws with replacement as there are
     products ('train'), and the products that were not drawn ('test').

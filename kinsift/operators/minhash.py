@@ -19,6 +19,11 @@ def next_prime(n: int) -> int:
     return n
 
 
+def signature_size(vocabulary: DataFrame) -> DataFrame:
+    """n_words and k, the number of hash functions: half as many as there are words, rounded down."""
+    return vocabulary.agg(F.count("*").alias("n_words")).select("n_words", F.floor(F.col("n_words") / 2).cast("int").alias("k"))
+
+
 def parameters(k: int, seed: int = SEED) -> tuple[int, list[tuple[int, int]]]:
     """p and (a, b) of each function; a prime somewhat over k, drawn with the seed."""
     rng = random.Random(seed)

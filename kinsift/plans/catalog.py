@@ -51,13 +51,23 @@ def features(s: SparkSession, d: str, cleaner: T.Cleaner | None = T.clean_unifie
 
 
 def words(s: SparkSession, d: str) -> DataFrame:
-    f = features(s, d)
-    relevant = vocabulary.relevant_features(f, offered(s, d).count())
-    return vocabulary.unified_words(products(s, d), f, relevant)
+    own = scratch.written(offered(s, d), "offers")  # titles, features and their number come from it
+    f = P.offer_features(own).select("product_idx", "key", T.clean_unified(F.col("value")).alias("value"))
+    relevant = vocabulary.relevant_features(f, own.count())
+    return vocabulary.unified_words(own.withColumn("title", T.clean_unified(F.col("title"))), f, relevant)
+
+
+def ones(s: SparkSession, d: str) -> DataFrame:
+    """The ones of the binary matrix; words are written, as the index and the ones read them."""
+    return vocabulary.product_words(scratch.written(words(s, d), "words"))
 
 
 def sigs(s: SparkSession, d: str, k: int = K) -> DataFrame:
-    return minhash.signatures(vocabulary.product_words(words(s, d)), k)
+    return minhash.signatures(ones(s, d), k)
+
+
+def banded(s: SparkSession, d: str, r: int = R, **options) -> DataFrame:
+    return scratch.written(blocking.bands(sigs(s, d), r, **options), "bands")
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
@@ -136,12 +146,17 @@ def word_index(s, d):
 
 @query
 def product_words_basic(s, d):
-    return vocabulary.product_words(vocabulary.basic_words(products(s, d, T.clean_basic), features(s, d, T.clean_basic)))
+    return vocabulary.product_words(scratch.written(vocabulary.basic_words(products(s, d, T.clean_basic), features(s, d, T.clean_basic)), "words"))
 
 
 @query
 def product_words_unified(s, d):
-    return vocabulary.product_words(words(s, d))
+    return ones(s, d)
+
+
+@query
+def minhash_size(s, d):
+    return minhash.signature_size(vocabulary.vocabulary(words(s, d)))
 
 
 @query
@@ -182,8 +197,8 @@ def lsh_bands(s, d):
 
 @query
 def lsh_buckets(s, d):
-    banded = blocking.bands(sigs(s, d), R)
-    return banded.join(blocking.bucket_sizes(banded).where("n > 1"), ["band_id", "band_key"]).select("band_id", "band_key", "product_idx")
+    own = banded(s, d)
+    return own.join(blocking.bucket_sizes(own).where("n > 1"), ["band_id", "band_key"]).select("band_id", "band_key", "product_idx")
 
 
 @query
@@ -193,12 +208,12 @@ def lsh_bucket_sizes(s, d):
 
 @query
 def lsh_candidates(s, d):
-    return blocking.candidates(blocking.bands(sigs(s, d), R))
+    return blocking.candidates(banded(s, d))
 
 
 @query
 def lsh_candidates_float64(s, d):
-    return blocking.candidates(blocking.bands(sigs(s, d), R, key="float64"))
+    return blocking.candidates(banded(s, d, key="float64"))
 
 
 @query
@@ -333,20 +348,24 @@ def _candidates(s, d) -> DataFrame:
     return scratch.written(lsh_candidates(s, d), "candidates")
 
 
-def _edges(s, d, candidates: DataFrame) -> DataFrame:
+EPSILON = 0.5
+
+
+def _edges(s, d, candidates: DataFrame, variant: str = "exact") -> DataFrame:
+    """Distances to nine places, so that sums of another order part no ties."""
     p, f = scratch.written(products(s, d), "products"), scratch.written(features(s, d), "features")
-    return experiment.scored_edges(candidates, p, f, lexicon=LEXICON)
+    return experiment.scored_edges(candidates, p, f, variant, LEXICON, places=9)
 
 
 @query
 def epsilon_components(s, d):
     edges = scratch.written(similarity.dissimilarity(_scored(s, d)), "dissim")
-    return clustering.epsilon_components(edges, 0.5).select(F.col("node").alias("product_idx"), F.col("least").alias("component"))
+    return clustering.epsilon_components(edges, EPSILON).select(F.col("node").alias("product_idx"), F.col("least").alias("component"))
 
 
 @query
 def clusters(s, d):
-    return clustering.clusters(offered(s, d), _edges(s, d, _candidates(s, d)), 0.5)
+    return clustering.clusters(offered(s, d), _edges(s, d, _candidates(s, d)), EPSILON)
 
 
 @query
@@ -354,6 +373,24 @@ def cluster_pairs(s, d):
     return clustering.cluster_pairs(clusters(s, d))
 
 
+def _cluster_metrics(s: SparkSession, d: str, variant: str) -> DataFrame:
+    """The whole flow on all offers: candidates, pruning, similarity, clusters, quality of their pairs."""
+    own, every = scratch.written(offered(s, d), "offers"), _candidates(s, d)
+    grouped = clustering.clusters(own, _edges(s, d, every, variant), EPSILON)
+    found = evaluation.cluster_metrics(clustering.cluster_pairs(scratch.written(grouped, "clusters")), every, evaluation.true_pairs(own), own)
+    return rounded(found, "pq", "pc", "f1", "foc")
+
+
+@query
+def cluster_metrics(s, d):
+    return _cluster_metrics(s, d, "exact")
+
+
+@query
+def cluster_metrics_fast(s, d):
+    return _cluster_metrics(s, d, "fast")
+
+
 @query
 def true_pairs(s, d):
     return evaluation.true_pairs(offered(s, d))
@@ -375,10 +412,25 @@ def found_duplicates(s, d):
     return evaluation.found_pairs(lsh_candidates(s, d), true_pairs(s, d))
 
 
+def _pair_metrics(s: SparkSession, d: str, r: int) -> DataFrame:
+    own = scratch.written(offered(s, d), "offers")
+    every = scratch.written(blocking.candidates(banded(s, d, r)), "candidates")
+    return rounded(evaluation.pair_metrics(every, evaluation.true_pairs(own), own), "pq", "pc", "f1", "foc")
+
+
 @query
 def pair_metrics(s, d):
-    found = evaluation.pair_metrics(scratch.written(lsh_candidates(s, d), "candidates"), true_pairs(s, d), offered(s, d))
-    return rounded(found, "pq", "pc", "f1", "foc")
+    return _pair_metrics(s, d, R)
+
+
+@query
+def pair_metrics_r4(s, d):
+    return _pair_metrics(s, d, 4)
+
+
+@query
+def pair_metrics_r2(s, d):
+    return _pair_metrics(s, d, 2)
 
 
 @query

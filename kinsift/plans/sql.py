@@ -154,6 +154,7 @@ _SELECT: dict[str, str] = {
     "word_index": "SELECT word, word_idx FROM word_idx",
     "product_words_basic": "SELECT product_idx, word_idx FROM basic_words JOIN (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_idx FROM (SELECT DISTINCT word FROM basic_words)) USING (word)",
     "product_words_unified": "SELECT product_idx, word_idx FROM words JOIN word_idx USING (word)",
+    "minhash_size": "SELECT n AS n_words, (n // 2)::int AS k FROM (SELECT count(DISTINCT word) AS n FROM words)",
     "minhash_params": f"SELECT perm_id, a::bigint AS a, b::bigint AS b, {_p}::bigint AS p FROM (VALUES {_PERMS}) f(perm_id, a, b)",
     "minhash_signatures": "SELECT product_idx, perm_id, minhash FROM sig",
     "signature_agreement": f"SELECT i, j, round(count(*) FILTER (a.minhash = b.minhash) / {K}.0, 6) AS jaccard_estimate FROM pairs JOIN sig a ON a.product_idx = i JOIN sig b ON b.product_idx = j AND a.perm_id = b.perm_id GROUP BY i, j",
@@ -188,6 +189,11 @@ _SELECT: dict[str, str] = {
     "pair_similarity_fast": "SELECT i, j, m, round(similarity, 6) AS similarity FROM ps_fast",
     "dissimilarity": "SELECT i, j, round(1 - similarity, 6) AS dissim FROM ps",
     "epsilon_components": """SELECT node AS product_idx, min(root) AS component FROM reach GROUP BY node""",
+    "clusters": "SELECT product_idx, cluster_id FROM clustered",
+    "cluster_pairs": "SELECT a.product_idx AS i, b.product_idx AS j FROM clustered a JOIN clustered b USING (cluster_id) WHERE a.product_idx < b.product_idx",
+    "cluster_metrics": """SELECT c AS comparisons, f AS found, t AS total, n, round(pq, 6) AS pq, round(pc, 6) AS pc, round(coalesce(2 * pq * pc / (pq + pc), 0), 6) AS f1, round(c / (n * (n - 1) / 2), 6) AS foc
+FROM quality CROSS JOIN (SELECT count(*) AS n FROM offers)""",
+    "epsilon_grid_best": "SELECT e AS epsilon, round(coalesce(2 * pq * pc / (pq + pc), 0), 6) AS f1 FROM quality ORDER BY coalesce(2 * pq * pc / (pq + pc), -1) DESC, e LIMIT 1",
     "true_pairs": "SELECT i, j FROM truth",
     "bootstrap_oob": "SELECT bootstrap, 'train' AS split, local_pos, product_idx FROM drawn UNION ALL SELECT bootstrap, 'test', row_number() OVER (PARTITION BY bootstrap ORDER BY product_idx) - 1, product_idx FROM oob",
     "true_pairs_in_sample": "SELECT i, j FROM truth WHERE i IN (SELECT product_idx FROM oob WHERE bootstrap = 0) AND j IN (SELECT product_idx FROM oob WHERE bootstrap = 0)",
@@ -195,6 +201,37 @@ _SELECT: dict[str, str] = {
     "pair_metrics": """SELECT c AS comparisons, f AS found, t AS total, n, round(f / c, 6) AS pq, round(f / t, 6) AS pc, round(coalesce(2 * (f / c) * (f / t) / (f / c + f / t), 0), 6) AS f1, round(c / (n * (n - 1) / 2), 6) AS foc
 FROM (SELECT (SELECT count(*) FROM candidates) AS c, (SELECT count(*) FROM (SELECT i, j FROM candidates INTERSECT SELECT i, j FROM truth)) AS f, (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM offers) AS n)""",
 }
+#: The same steps over all LSH candidates: pairs that pruning leaves, components of close ones, and in each the
+#: clusters, in order of creation; a round merges the two nearest of those all of whose pairs have a distance.
+_FLOW = {
+    "tagged": "SELECT product_idx, arg_min(brand, rank) AS brand FROM brand_text LEFT JOIN lexicon ON contains(text, brand) GROUP BY 1",
+    "cross_shop": "SELECT i, j FROM candidates JOIN offers a ON a.product_idx = i JOIN offers b ON b.product_idx = j JOIN tagged x ON x.product_idx = i JOIN tagged y ON y.product_idx = j WHERE a.shop <> b.shop AND (x.brand IS NULL OR y.brand IS NULL OR x.brand = y.brand)",
+}
+_LINKED = {
+    "edges": "SELECT i, j, round(1 - similarity, 9) AS dissim FROM ps",
+    "undirected": "SELECT e, i AS a, j AS b FROM edges, grid WHERE dissim <= e UNION SELECT e, j, i FROM edges, grid WHERE dissim <= e",
+    "reach": "SELECT e, a AS node, a AS root FROM undirected UNION SELECT undirected.e, undirected.b, root FROM reach JOIN undirected ON undirected.e = reach.e AND undirected.a = reach.node",
+    "part": "SELECT e, node, min(root) AS c FROM reach GROUP BY e, node",
+    "inside": "SELECT x.e, x.c, list({'i': i, 'j': j, 'd': dissim}) AS es FROM edges JOIN part x ON x.node = i JOIN part y ON y.node = j AND y.e = x.e AND y.c = x.c GROUP BY x.e, x.c",
+    "merging": """SELECT e, c, 0 AS step, list([node] ORDER BY node) AS cl FROM part GROUP BY e, c
+UNION ALL SELECT e, c, step + 1, list_append(list_filter(cl, lambda x: x <> cl[best.p] AND x <> cl[best.q]), list_concat(cl[best.p], cl[best.q])) FROM (
+  SELECT e, c, any_value(step) AS step, any_value(cl) AS cl, min({'d': d, 'p': p, 'q': q}) AS best FROM (
+    SELECT e, c, any_value(step) AS step, any_value(cl) AS cl, p, q, min(x.d) AS d FROM (
+      SELECT e, c, step, cl, x, list_position(list_transform(cl, lambda y: list_contains(y, x.i)), true) AS u, list_position(list_transform(cl, lambda y: list_contains(y, x.j)), true) AS v, least(u, v) AS p, greatest(u, v) AS q
+      FROM (SELECT merging.e, merging.c, step, cl, unnest(es) AS x FROM merging JOIN inside ON inside.e = merging.e AND inside.c = merging.c))
+    WHERE p <> q GROUP BY e, c, p, q HAVING count(*) = len(any_value(cl)[p]) * len(any_value(cl)[q]) AND min(x.d) <= e)
+  GROUP BY e, c)""",
+    "grouped": "SELECT e, list_min(g) AS cluster_id, unnest(g) AS product_idx FROM (SELECT e, unnest(arg_max(cl, step)) AS g FROM merging GROUP BY e, c)",
+    "clustered": "SELECT grid.e, o.product_idx, coalesce(cluster_id, o.product_idx) AS cluster_id FROM offers o CROSS JOIN grid LEFT JOIN grouped ON grouped.e = grid.e AND grouped.product_idx = o.product_idx",
+    "matched": "SELECT e, count(*) AS f FROM clustered a JOIN clustered b USING (e, cluster_id) JOIN truth ON i = a.product_idx AND j = b.product_idx GROUP BY e",
+    "quality": "SELECT grid.e, c, coalesce(f, 0) AS f, t, f / c AS pq, f / t AS pc FROM grid LEFT JOIN matched USING (e) CROSS JOIN (SELECT count(*) AS c FROM candidates) CROSS JOIN (SELECT count(*) AS t FROM truth)",
+}
+
+
+def _linked(*grid: float) -> dict[str, str]:
+    return {"grid": f"SELECT unnest({list(grid)!r}::double[]) AS e"} | _LINKED
+
+
 #: Relations that only one query names.
 _OWN = {
     "lsh_candidates_float64": {"h": f"SELECT product_idx, band_id, list_reduce(l, lambda h, v: fmod(h * 31.0 + v, 2305843009213693952.0), 0.0::double) AS h FROM (SELECT product_idx, perm_id // {R} AS band_id, list(minhash::double ORDER BY perm_id) AS l FROM sig GROUP BY ALL)"},
@@ -204,6 +241,11 @@ _OWN = {
         "undirected": "SELECT i AS a, j AS b FROM close UNION SELECT j, i FROM close",
         "reach": "SELECT a AS node, a AS root FROM undirected UNION SELECT undirected.b, root FROM reach JOIN undirected ON undirected.a = reach.node",
     },
+    "clusters": _FLOW | _linked(0.5),
+    "cluster_pairs": _FLOW | _linked(0.5),
+    "cluster_metrics": _FLOW | _linked(0.5),
+    "cluster_metrics_fast": _FLOW | {"tagged": _WITH["whole"]} | _linked(0.5) | {"edges": _LINKED["edges"].replace("ps", "ps_fast")},
+    "epsilon_grid_best": _FLOW | _linked(*(round(0.1 * k, 1) for k in range(11))),
 }
 
 
@@ -223,17 +265,27 @@ def _names(body: str, known: dict[str, str]) -> list[str]:
 
 
 def _sql(name: str, body: str) -> str:
-    known = _WITH | _OWN.get(name, {})
+    own = _OWN.get(name, {})
+    known: dict[str, str] = {}
+    for n, q in _WITH.items():  # a relation of its own stands in place of a common one
+        if n == "cross_shop" and "tagged" in own:
+            for late in ("brand_text", "lexicon", "tagged"):
+                known[late] = own.get(late) or _WITH[late]
+        known[n] = own.get(n, q)
+    known |= {n: q for n, q in own.items() if n not in known}
     used = _names(body, known)
     if not used:
         return body
-    recursive = "RECURSIVE " if name == "epsilon_components" else ""
+    recursive = "RECURSIVE " if "reach" in own else ""
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" + body
 
 
 #: A little is added before rounding, in the queries too: sums of another order may not part a tie.
 SQL: dict[str, str] = {name: _sql(name, body.replace(", 6)", " + 1e-9, 6)")) for name, body in _SELECT.items()}
 
+SQL["cluster_metrics_fast"] = _sql("cluster_metrics_fast", _SELECT["cluster_metrics"].replace(", 6)", " + 1e-9, 6)"))
+for _r in (4, 2):  # shorter bands
+    SQL[f"pair_metrics_r{_r}"] = SQL["pair_metrics"].replace(f"perm_id // {R}", f"perm_id // {_r}")
 SQL["flatten_groups"] = """SELECT * FROM (VALUES (0::bigint, 'g1', 'm1', 'x', 'a', '29"'), (1::bigint, 'g1', 'm1', 'y', 'b', '29"'), (2::bigint, 'g2', 'm2', 'x', 'c', NULL)) v(product_idx, group_key, model_id, shop, title, size)""".replace("NULL", "'29\"'")
 
 _METRICS = ("candidate_pairs", "duplicates_found_lsh", "duplicates_found_msm", "foc_lsh", "pq_lsh", "pc_lsh", "f1_star", "foc_msm", "pq_msm", "pc_msm", "f1")

@@ -169,17 +169,30 @@ def test_experiment_resumes(spark, tmp_path):
     p, f = make(spark, rows)
     p = p.withColumn("model_id", F.floor(F.col("product_idx") / 3).cast("string"))
     words = vocabulary.basic_words(p, f)
-    sigs = minhash.signatures(vocabulary.product_words(words), 4)
     path = str(tmp_path / "r")
     done = [(0, r, b, 0.5, 1, 1, 1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1) for r, b in ((1, 4), (2, 2), (3, 2))]
     results.write_results(spark.createDataFrame(done, results.RESULTS), path)
-    got = experiment.run(p, f, sigs, 4, path, n_bootstraps=1).collect()
+    got = experiment.run(p, f, words, path, 4, n_bootstraps=1).collect()
     assert {(r.r, r.b) for r in got} == {(1, 4), (2, 2), (3, 2), (4, 1)}
     new = next(r for r in got if r.r == 4)
     assert new.duplicates_found_lsh >= new.duplicates_found_msm >= 0
     assert evaluation.summarize(results.read_results(spark, path)).count() == 4
 
 
+def test_both_pipelines(spark, tmp_path):
+    rows = [(m * 2 + k, "ab"[k], f"brand{m} {20 + m}inch x{m}y", {"Size": f"{20 + m}inch"}) for m in range(3) for k in range(2)]
+    p, f = make(spark, rows)
+    p = p.withColumn("model_id", F.floor(F.col("product_idx") / 2).cast("string"))
+    every = vocabulary.vocabulary(vocabulary.basic_words(p, f))
+    assert minhash.signature_size(every).first()["k"] == every.count() // 2 > 1
+    got = experiment.compared(p, f, p.select("product_idx", "title"), str(tmp_path), n_bootstraps=1, k=1)
+    n = got["baseline"].count()
+    assert n == got["extended"].count() > 0 and got["curves"].count() == 2 * n
+    assert {r.measure for r in got["areas"].collect()} == {"pc_lsh", "pq_lsh", "f1_star"}
+    lines = experiment.report(got["baseline"]).split("\n")
+    assert len(lines) == n + 1 and lines[0].split()[:3] == ["r", "b", "t"] and len({len(x) for x in lines}) == 1
+
+
 def test_result_files(spark, tmp_path):
     assert results.read_results(spark, str(tmp_path / "none")).count() == 0
     path = tmp_path / "t.json"
