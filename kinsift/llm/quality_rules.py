@@ -6,6 +6,11 @@ most, is pruned while that doesn't harm it on rows set aside, and the rows it co
 before the next rule. The list becomes one CASE expression.
 
 Repeated windows are found inside the row, on arrays of 64-bit word hashes; nothing is shuffled.
+
+A null text counts as empty; ratios of an empty text are 0. Rows without an id or label are not learned from; an id with several
+labels counts by the least. Without labels of both kinds no rule is learned, and the base alone decides. Repeated rows are judged
+each by itself, very long texts whole; only the id and the text are read, so that other columns can have any
+name; an empty table gives an empty result. Ties between thresholds go to the feature and cut that come first.
 """
 
 from __future__ import annotations
@@ -23,19 +28,6 @@ FIT_ROWS = 20_000
 FEATURES = ("symbol_ratio", "upper_ratio", "exclaim_ratio", "digit_ratio", "dup_line_ratio", "repeat_ratio", "mean_word", "unique_ratio", "pipe_ratio", "stop_ratio")
 
 
-def base_statistics(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and the hashes of the words."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, BLANK), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    return {
-        "_h": F.transform(words, lambda w: F.xxhash64(w)),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: what a lambda closes over is computed anew each time."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -65,20 +57,23 @@ def repeated_words(h: Column, window: int = WINDOW) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: the id, `keep`, the counts and the features of rules.
-
-    A null text counts as empty; ratios of an empty text are 0."""
+    """One row per row of docs: the id, `keep`, the counts and the features of rules. Words and lines are split once."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.select(F.col(id_col), *keep, t.alias("_t")).select(id_col, *keep, "_t", *(v.alias(k) for k, v in base_statistics(F.col("_t")).items()))
-    count = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
+    count = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    n = F.size("_h").cast("long")
-    upper = F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", ""))
-    counted = first.select(
-        id_col, *keep, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_h")).alias("n_repeat_words"),
-        count("!").alias("_ex"), count("0123456789").alias("_dg"), count("|").alias("_pi"), upper.alias("_up"), F.size(F.array_distinct("_h")).alias("_un"),
-        F.size(F.split("_t", "\n")).alias("_ln"),
-        F.size(F.filter(F.split("_t", BLANK), lambda w: F.length(w).between(1, 3))).alias("_st"),
+    split = docs.select(F.col(id_col), *keep, t.alias("_t")).select(
+        id_col, *keep, "_t", F.filter(F.split("_t", BLANK), lambda w: w != "").alias("_w"),
+        F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0).alias("_l"),
+    )
+    hashed = split.select(
+        id_col, *keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"), F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+        count("#*$%&|<>").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        count("!").alias("_ex"), count("0123456789").alias("_dg"), count("|").alias("_pi"), F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).alias("_up"),
+        (count("\n") + 1).alias("_ln"), F.size(F.filter("_w", lambda w: F.length(w) <= 3)).alias("_st"),
+    )
+    counted = hashed.select(
+        id_col, *keep, F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_h")).alias("n_repeat_words"),
+        "_ex", "_dg", "_pi", "_up", "_ln", "_st", F.size(F.array_distinct("_h")).alias("_un"),
     )
     chars, words = F.col("word_chars"), F.col("n_words")
     return counted.select(

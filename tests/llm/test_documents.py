@@ -9,6 +9,7 @@ import hashlib
 import lzma
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -422,20 +423,53 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in secret_scan.redacted(table(spark, rows)).collect()} == {1: "a [SECRET] b [SECRET] c", 2: None, 3: "clean"}
 
 
+def brute_quality(text):
+    """The counts and features of one text."""
+    t = text or ""
+    w = SPACED.findall(t)
+    c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    again = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+    lines = [x for x in t.split("\n") if SPACED.search(x)]
+    r = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(again)}
+    chars, words = r["word_chars"] or 1, len(w) or 1
+    upper = sum(unicodedata.category(x) == "Lu" for x in t)
+    r |= {"symbol_ratio": r["n_symbols"] / chars, "upper_ratio": upper / chars, "exclaim_ratio": t.count("!") / chars, "digit_ratio": len(re.findall("[0-9]", t)) / chars, "pipe_ratio": t.count("|") / words}
+    return r | {"dup_line_ratio": r["n_dup_lines"] / (t.count("\n") + 1), "repeat_ratio": len(again) / words, "mean_word": r["word_chars"] / words, "unique_ratio": len(set(w)) / words, "stop_ratio": sum(len(x) <= 3 for x in w) / words}
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def test_quality_statistics(spark):
     rng = random.Random(9)
-    rows = corpus() + [(200 + k, "\n".join(prose(rng, rng.randrange(0, 12), 4) + rng.choice(["", " ###", "|"]) for _ in range(rng.randrange(1, 8)))) for k in range(40)]
-    got = {(r.doc_id, r.text): r for r in quality_rules.judged(table(spark, rows), []).join(table(spark, rows, extra=False), "doc_id").collect()}
+    rows = corpus() + [(200 + k, "\n".join(prose(rng, rng.randrange(0, 12), 4) + rng.choice(["", " ###", "|", " !É1"]) for _ in range(rng.randrange(1, 8)))) for k in range(40)]
+    rows += [(4, corpus()[4][1]), (None, "a b " * 30)]
+    want = Counter()
     for i, t in rows:
-        if (i == 22) or (i, t) not in got:
-            continue
-        w = SPACED.findall(t or "")
-        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        again = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
-        lines = [x for x in (t or "").split("\n") if SPACED.search(x)]
-        r = got[i, t]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again)), i
-        assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w))
+        r = brute_quality(t)
+        want[i, *(r[c] for c in COUNTS), r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]] += 1
+    got = quality_rules.judged(table(spark, rows).withColumn("_w", F.lit(1)).withColumn("rule", F.lit(2)), []).collect()
+    assert Counter((r.doc_id, *(r[c] for c in COUNTS), r.base_failed) for r in got) == want and all(r.kept != r.base_failed for r in got)
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality_rules.fit(docs.where("doc_id % 2 = 0"), labels)
+    assert rules
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    dropped = []
+    for r in quality_rules.judged(docs, rules).collect():
+        f = brute_quality(texts[r.doc_id])
+        near = any(abs(f[t.feature] - t.cut) < 1e-9 for rule in rules for t in rule.tests)
+        rule = next((k for k, x in enumerate(rules) if all((f[t.feature] > t.cut) == t.above for t in x.tests)), None)
+        failed = f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"]
+        assert near or (r.rule, r.kept) == (rule, not failed and rule is None), r.doc_id
+        if r.doc_id % 2 and not failed and rule is not None and label.get(r.doc_id) is not None:
+            dropped.append(label[r.doc_id])
+    assert dropped.count(0) >= 0.8 * len(dropped)  # on rows that were not learned from
 
 
 def test_decision_list_finds_a_conjunction():
