@@ -40,13 +40,19 @@ def bucket_sizes(banded: DataFrame) -> DataFrame:
     return banded.groupBy("band_id", "band_key").agg(F.count("*").alias("n"))
 
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """i, j (i < j) that share a bucket, once. Buckets of one product are gone before the join."""
-    shared = bucket_sizes(banded).where("n > 1").select("band_id", "band_key")
-    kept = banded.join(shared, ["band_id", "band_key"], "left_semi")
-    a = kept.select("band_id", "band_key", F.col("product_idx").alias("i"))
-    b = kept.select("band_id", "band_key", F.col("product_idx").alias("j"))
-    return a.join(b, ["band_id", "band_key"]).where("i < j").select("i", "j").distinct()
+BLOCK = 4096
+
+
+def candidates(banded: DataFrame, block: int = BLOCK) -> DataFrame:
+    """i, j (i < j) that share a bucket, once. Buckets of one product are gone before the join; those of more than `block`
+    are dealt out in blocks, every two of which meet in a task of their own."""
+    shared = bucket_sizes(banded).where("n > 1").select(F.col("band_id").alias("b2"), F.col("band_key").alias("k2"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    kept = banded.join(shared, (F.col("band_id") == F.col("b2")) & (F.col("band_key") == F.col("k2")))
+    kept = kept.select("band_id", "band_key", "product_idx", "blocks", F.pmod(F.xxhash64("product_idx"), F.col("blocks")).cast("int").alias("own"))
+    a = kept.select("band_id", "band_key", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("product_idx").alias("i"))
+    b = kept.select("band_id", "band_key", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("product_idx").alias("j"))
+    met = a.join(b, ["band_id", "band_key", "x", "y"]).where("x < y OR i < j").where("i <> j")
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 def to_global(local_pairs: DataFrame, samples: DataFrame) -> DataFrame:

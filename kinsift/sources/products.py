@@ -12,11 +12,18 @@ PRODUCT_SCHEMA = "product_idx long, model_id string, shop string, title string,
 def flatten_groups(groups: DataFrame, file_order: str | None = None) -> DataFrame:
     """Products of {group: [item, ...]} maps (column `groups`), numbered by group, then item.
 
-    Numbers follow positions, so a table of one row per file needs an ordinal column file_order."""
-    outer = [file_order] if file_order else []
-    items = groups.select(*outer, F.posexplode("groups").alias("g_pos", "group_key", "items")).select(*outer, "g_pos", "group_key", F.posexplode("items").alias("i_pos", "item"))
-    order = Window.orderBy(*outer, "g_pos", "i_pos")
-    return items.select((F.row_number().over(order) - 1).cast("long").alias("product_idx"), "group_key", F.col("item.modelID").alias("model_id"), F.col("item.shop").alias("shop"), F.col("item.title").alias("title"), F.col("item.featuresMap").alias("features"))
+    A table of one row per file needs an ordinal column file_order (without it there is one row). An item's number is its
+    place in its file's map, flattened, plus the items of the files before: only counts of files meet in one task."""
+    items = F.flatten(F.transform(F.map_entries("groups"), lambda g: F.transform(F.coalesce(g["value"], F.array()), lambda x: F.struct(g["key"].alias("group_key"), x.alias("item")))))
+    own = groups.select(*([file_order] if file_order else []), items.alias("items"))
+    if file_order:
+        sizes = own.select(file_order, F.size("items").alias("n")).where("n > 0")
+        before = sizes.select(F.col(file_order).alias("_f"), (F.sum("n").over(Window.orderBy(file_order)) - F.col("n")).alias("_before"))
+        own = own.join(before, F.col(file_order).eqNullSafe(F.col("_f"))).select("items", "_before")
+    else:
+        own = own.withColumn("_before", F.lit(0))
+    each = own.select("_before", F.posexplode("items").alias("pos", "x"))
+    return each.select((F.col("_before") + F.col("pos")).cast("long").alias("product_idx"), "x.group_key", F.col("x.item.modelID").alias("model_id"), F.col("x.item.shop").alias("shop"), F.col("x.item.title").alias("title"), F.col("x.item.featuresMap").alias("features"))
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,15 +180,37 @@ def test_experiment_resumes(spark, tmp_path):
     assert evaluation.summarize(results.read_results(spark, path)).count() == 4
 
 
+def test_large_buckets_in_blocks(spark):
+    rng = random.Random(5)
+    rows = [(k, band, str(rng.randrange(3))) for k in range(60) for band in range(2)]
+    banded = spark.createDataFrame(rows, "product_idx long, band_id int, band_key string")
+    key = {(k, band): x for k, band, x in rows}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if any(key[i, b] == key[j, b] for b in range(2))}
+    for block in (blocking.BLOCK, 3, 1):
+        got = [tuple(r) for r in blocking.candidates(banded, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_groups_of_several_files(spark):
+    one = lambda t: {"title": t, "shop": "s", "modelID": "m"}
+    rows = [(2, {"g": [one("d")], "h": None}), (0, {"g": [one("a"), one("b")], "e": [], "h": [one("c")]}), (1, None), (3, {})]
+    df = spark.createDataFrame([(f, json.dumps(g) if g is not None else None) for f, g in rows], "f int, j string").select("f", F.from_json("j", f"map<string,array<{P.ITEM}>>").alias("groups"))
+    got = P.flatten_groups(df, "f").collect()
+    assert [(r.product_idx, r.title, r.group_key) for r in sorted(got)] == [(0, "a", "g"), (1, "b", "g"), (2, "c", "h"), (3, "d", "g")]
+
+
 def test_both_pipelines(spark, tmp_path):
     rows = [(m * 2 + k, "ab"[k], f"brand{m} {20 + m}inch x{m}y", {"Size": f"{20 + m}inch"}) for m in range(3) for k in range(2)]
     p, f = make(spark, rows)
     p = p.withColumn("model_id", F.floor(F.col("product_idx") / 2).cast("string"))
     every = vocabulary.vocabulary(vocabulary.basic_words(p, f))
     assert minhash.signature_size(every).first()["k"] == every.count() // 2 > 1
-    got = experiment.compared(p, f, p.select("product_idx", "title"), str(tmp_path), n_bootstraps=1, k=1)
+    for name in ("baseline", "extended"):  # all but one are done
+        done = [(0, r, b, 0.5, 9, 1, 1, 0.1 * r, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1) for r, b in ((1, 3), (2, 2), (3, 1))[: 3 if name == "baseline" else 2]]
+        results.write_results(spark.createDataFrame(done, results.RESULTS), f"{tmp_path}/{name}")
+    got = experiment.compared(p, f, p.select("product_idx", "title"), str(tmp_path), n_bootstraps=1, k=3)
     n = got["baseline"].count()
-    assert n == got["extended"].count() > 0 and got["curves"].count() == 2 * n
+    assert n == got["extended"].count() == 3 and got["curves"].count() == 6
     assert {r.measure for r in got["areas"].collect()} == {"pc_lsh", "pq_lsh", "f1_star"}
     lines = experiment.report(got["baseline"]).split("\n")
     assert len(lines) == n + 1 and lines[0].split()[:3] == ["r", "b", "t"] and len({len(x) for x in lines}) == 1
