@@ -97,8 +97,7 @@ def brute_words(rows):
     return out
 
 
-@PIECES
-@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize(("piece", "kind"), [(windows.PIECE_BYTES, "string"), (4000, "long")])
 def test_parsing_against_brute_force(spark, monkeypatch, piece, kind):
     monkeypatch.setattr(windows, "PIECE_BYTES", piece)
     base = [*corpus(), *edges()]
