@@ -36,7 +36,7 @@ from kinsift.plans import scratch
 
 from . import arrays as A
 
-PIECE_BYTES = 2 << 20  # contexts that are held in memory together
+PIECE_BYTES = 1 << 20  # contexts that are held in memory together
 PIECE = 1 << 22  # units of a long text that are looked at together; places must fit in 24 bits
 
 
