@@ -265,7 +265,7 @@ def test_candidates_without_making_them_twice(spark):
     for r, block in ((2, 8), (3, 4096)):
         share = lambda a, b: any(a[k : k + r] == b[k : k + r] for k in range(0, 7, r))  # noqa: B023, E731
         want = [(i, j) for i, a in rows for j, b in rows if i < j and share(a, b)]
-        made = blocking.keyed_candidates(blocking.keyed(sigs, r), block)
+        made = blocking.signed_candidates(sigs, r, block=block)
         assert sorted(map(tuple, made.collect())) == want
         assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # pairs are not shuffled to be told apart
 
@@ -280,7 +280,7 @@ def test_candidates_are_counted_without_making_them(spark):
         assert blocking.count_candidates(sigs, 2, block).first()["comparisons"] == len(want)
     assert blocking.count_candidates(sigs.limit(0), 2).first()["comparisons"] == 0
     some = [(0, 1), (5, 160), (7, 9), (150, 179)]
-    got = blocking.sharing(spark.createDataFrame(some, "i long, j long"), blocking.keyed(sigs, 2)).collect()
+    got = blocking.sharing(spark.createDataFrame(some, "i long, j long"), sigs, 2).collect()
     assert {tuple(x) for x in got} == {*some} & want
 
 
