@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinsift.functions import text as T
-from kinsift.operators import blocking, brands, clustering, components, evaluation, minhash, similarity, vocabulary
+from kinsift.operators import blocking, brands, clustering, components, evaluation, minhash, scoring, similarity, vocabulary
 from kinsift.plans import catalog, experiment
 from kinsift.sources import products as P
 from kinsift.sources import results
@@ -303,3 +303,34 @@ def test_tables_of_products_are_not_sent_to_the_driver(spark):
     like, few, own = similarity.alike_features(pairs, f)
     assert {r.like for r in like.collect()} == {0, 1} and {tuple(r) for r in few.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert sorted(r.product_idx for r in own.collect()) == [0, 1]
+
+
+def test_edges_scored_in_buckets(spark):
+    rng = random.Random(4)
+    some = [
+        (k, rng.choice(["a", "b", "c", None]), rng.choice(["sony tv 46inch x1y", "set of 5inch 60hz", "lg 46inch screen x2y big", "", "red sonny tvs 46inch"]) + rng.choice(["", " new one", " 3d"]),
+         {x: v for x, v in (("Size", rng.choice(["46inch", "42 inch"])), ("Brand", rng.choice(["sony", "lg", "none"])), ("Refresh Rate", "60Hz"), ("Refresh Rate:", "50hz")) if rng.random() < 0.6}) for k in range(40)
+    ]
+    p, f = make(spark, some)
+    signed = spark.createDataFrame([(k, [rng.randint(0, 1) for _ in range(4)]) for k in range(40)], "product_idx long, sig array<long>").coalesce(1)
+    every = blocking.signed_candidates(signed, 2)
+    for variant, block in (("exact", 8), ("fast", 1024)):
+        want = {(r.i, r.j): r.dissim for r in experiment.scored_edges(every, p, f, variant, places=9).collect()}
+        made = scoring.scored_edges(signed, p, f, 2, 0.5, variant, places=9, block=block)
+        rows = made.collect()
+        assert len(rows) == len(want) and {(r.i, r.j) for r in rows} == set(want)
+        assert all(abs(r.dissim - want[r.i, r.j]) < 2e-9 for r in rows)
+        parts = [{tuple(x) for x in components.components(e, "i", "j").collect()} for e in (made.where("link"), made.where("dissim <= 0.5"))]
+        assert parts[0] == parts[1]
+        assert 0 < sum(r.link for r in rows) < len(rows)
+
+
+def test_linkage_of_a_grid_is_that_of_each_epsilon():
+    rng = random.Random(8)
+    for _ in range(40):
+        edges = {(i, j): rng.choice([0.0, 0.1, 0.2, 0.3, 0.5]) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.7}
+        i, j = (clustering.np.array([e[k] for e in edges]) for k in (0, 1))
+        d = clustering.np.array([*edges.values()])
+        grid = (0.0, 0.1, 0.3, 0.4)
+        for eps, least in zip(grid, clustering.linkage(12, i, j, d, grid), strict=True):
+            assert dict(enumerate(least.tolist())) == clustering.agglomerate(list(range(12)), edges, eps)
