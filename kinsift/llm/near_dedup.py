@@ -40,6 +40,8 @@ from kinsift.plans import scratch
 from . import arrays as A
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
+#: Bytes of text looked at at once; temporary arrays take some sixty times as many.
+SLICE = 512 << 10
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -137,7 +139,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in A.slices(b.column("text")):
+            for lo, hi in A.slices(b.column("text"), SLICE):
                 part = b.slice(lo, hi - lo)
                 row, h, count, n = shingles(part.column("text"))
                 size = hi - lo
@@ -164,7 +166,7 @@ def scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sizes = pa.compute.add(pa.compute.binary_length(batch.column("ta")), pa.compute.binary_length(batch.column("tb"))).to_numpy(zero_copy_only=False)
             done = 0
             while done < batch.num_rows:
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[done:]), 2 * A.SLICE_BYTES, "right")))
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[done:]), 2 * SLICE, "right")))
                 part = batch.slice(done, n)
                 s = overlap(shingles(part.column("ta")), shingles(part.column("tb")), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], ["a", "b", "s"])
