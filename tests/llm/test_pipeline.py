@@ -63,3 +63,19 @@ def test_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
         assert all(r.toxicity == "t" and r.hits == r.doc_id and r["Shuffle_Key"] == 7 and r["a.b"] == "d" for r in got if r.doc_id not in (202, None))
         assert all("[SECRET]" in r.text and r.n_chars == len(r.text) for r in got if r.doc_id == 202)
         assert max(r["copy_no_"] for r in got) == max(r.n_copies for r in got) - 1
+
+
+def test_a_stage_by_itself_bounds_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, 10_000)
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS
+            spark.conf.set(name, 100)  # a smaller one is left as it is
+            corpus_pipeline.in_small_batches(lambda s, d, _: d)(spark, docs, SF)
+            assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
